@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import quality_divergence, simhash, unit_dedup
+from logspark.llm import packing, quality_divergence, simhash, surrogates, unit_dedup
 from logspark.llm.common import documents, importable
 
 
+#: The queries' key of surrogates; whoever uses the operator passes a secret of their own.
+KEY = "corpus-surrogates"
+
+
+def word_ids() -> str:
+    """Place of the vocabulary whose ids are packed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_divergence.judged(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -20,6 +31,14 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.without_repeats(documents(spark, sf_dir)).select("doc_id", "text", "removed")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(documents(spark, sf_dir), KEY).select("doc_id", "text", "entities")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.token_pieces(documents(spark, sf_dir), word_ids()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
