@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import packing, quality_divergence, simhash, surrogates, unit_dedup
+from logspark.llm import bpe, external_shuffle, imatch, packing, quality_divergence, simhash, surrogates, unit_dedup
 from logspark.llm.common import documents, importable
 
 
@@ -27,6 +27,10 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_report(documents(spark, sf_dir))
+
+
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.without_repeats(documents(spark, sf_dir)).select("doc_id", "text", "removed")
 
@@ -35,10 +39,23 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(documents(spark, sf_dir), KEY).select("doc_id", "text", "entities")
 
 
+def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    records = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    found = external_shuffle.shuffled(records, "doc_id", "size")
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.token_pieces(documents(spark, sf_dir), word_ids()))
 
 
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
