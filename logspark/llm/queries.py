@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, external_shuffle, imatch, packing, quality_divergence, simhash, surrogates, unit_dedup
+from logspark.llm import bpe, external_shuffle, imatch, importance, packing, quality_divergence, simhash, surrogates, toxicity, unit_dedup
 from logspark.llm.common import documents, importable
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 #: The queries' key of surrogates; whoever uses the operator passes a secret of their own.
 KEY = "corpus-surrogates"
 
@@ -27,6 +31,11 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return importance.resampled(docs, importance.good_texts(docs, labels(spark, sf_dir)))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_report(documents(spark, sf_dir))
 
@@ -50,6 +59,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.token_pieces(documents(spark, sf_dir), word_ids()))
 
 
+def op8_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = documents(spark, sf_dir), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    model = toxicity.fit(toxicity.labelled(docs, labels(spark, sf_dir), part != 0))
+    return toxicity.scored(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
