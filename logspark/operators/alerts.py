@@ -91,22 +91,22 @@ def fired(hits: DataFrame, width: int = 16) -> DataFrame:
             if after[i] < t.size:
                 last[i] = last[after[i]]
         n = min(t.size, int(np.searchsorted(t, b * c * width + c, "left")) + 1)
-        return pd.DataFrame({"rule_id": p.rule_id.iloc[0], "b": b, "c": c, "t": t[:n], "leaves": t[last[:n]]})
+        return p.iloc[:n].assign(leaves=t[last[:n]])[["rule_id", "b", "c", "t", "leaves"]]
 
     def entries(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["b", "t"], kind="stable")
-        out, last, c = [], None, int(p.c.iloc[0])
-        for b, of in p.groupby("b", sort=True):
+        p = p.sort_values(["b", "t"], kind="stable").reset_index(drop=True)
+        at, last, c = [], None, int(p.c.iloc[0])
+        for _, of in p.groupby("b", sort=True):
             t = of.t.to_numpy()
             i = 0 if last is None else int(np.searchsorted(t, last + c, "left"))
             if i < t.size:
-                out.append((b, int(t[i])))
+                at.append(of.index[i])
                 last = int(of.leaves.iloc[i])
-        return pd.DataFrame({"rule_id": p.rule_id.iloc[0], "b": [x[0] for x in out], "entry": [x[1] for x in out]})
+        return p.loc[at].rename(columns={"t": "entry"})[["rule_id", "b", "entry"]]
 
     def marked(key: tuple, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if p.empty or e.empty:
-            return pd.DataFrame({"rule_id": [], "t": [], "seq": []})
+            return p.iloc[:0][["rule_id", "t", "seq"]]
         p = p.sort_values(["t", "seq"])
         t = p.t.to_numpy()
         return p.iloc[fire_places(t, int(p.c.iloc[0]), int(np.searchsorted(t, int(e.entry.iloc[0]), "left")))][["rule_id", "t", "seq"]]

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark.schema import MESSAGE, RULE
 
@@ -24,8 +25,10 @@ def read_lines(spark: SparkSession, paths: str | list[str], protocol: str, sourc
 
 
 def stream_lines(spark: SparkSession, path: str, protocol: str, source_ip: str = "") -> DataFrame:
-    """The same of files as they come."""
-    return raw_lines(spark.readStream.text(path), protocol, F.lit(source_ip), F.col("_metadata.file_modification_time"))
+    """The same of files as they come. Streams have no line numbers: seq is the time of arrival, so equal
+    lines of one file are one message to whoever drops repeated ids."""
+    arrival = F.col("_metadata.file_modification_time")
+    return raw_lines(spark.readStream.text(path), protocol, F.lit(source_ip), arrival, F.unix_micros(arrival))
 
 
 def stream_kafka(spark: SparkSession, servers: str, topic: str, protocol: str = "UDP") -> DataFrame:
@@ -37,7 +40,8 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, protocol: str =
 
 def stream_socket(spark: SparkSession, host: str, port: int, protocol: str = "TCP") -> DataFrame:
     """Lines of a socket, for trying things out."""
-    return raw_lines(spark.readStream.format("socket").option("host", host).option("port", port).load(), protocol, F.lit(host))
+    texts = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return raw_lines(texts, protocol, F.lit(host), F.current_timestamp(), F.unix_micros(F.current_timestamp()))
 
 
 def union_transports(*lines: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def union_transports(*lines: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Messages of a store, without its partition column; filters on event_date go before this."""
-    return spark.read.schema(MESSAGE.add("event_date", "date")).parquet(path)
+    return spark.read.schema(T.StructType([*MESSAGE.fields, T.StructField("event_date", T.DateType())])).parquet(path)
 
 
 def read_rules(spark: SparkSession, path: str) -> list[dict]:
