@@ -141,13 +141,18 @@ def merge_many(pieces: list[bytes], size: int, r: Ranks) -> list[bytes]:
 
 
 class _Seen(dict):
-    """Ids by stretch; a stretch that isn't there is noted and stands for no ids meanwhile."""
+    """Ids by stretch, in two generations: when the young one is full it becomes the old one, and whatever is
+    used of that moves back. A stretch in neither is noted and stands for no ids meanwhile."""
 
-    def __init__(self) -> None:
-        self.new: dict[str, None] = {}
+    def __init__(self, old: dict[str, bytes]) -> None:
+        self.old, self.new, self.missed = old, {}, 0
 
     def __missing__(self, stretch: str) -> bytes:
+        if (ids := self.old.get(stretch)) is not None:
+            self[stretch] = ids
+            return ids
         self.new[stretch] = None
+        self.missed += 1
         return b""
 
 
@@ -156,9 +161,9 @@ class Encoder:
 
     What has been merged is kept by stretch and by piece, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, most: int = 500_000):
         self.ranks, self.pattern, self.most = ranks(path), regex.compile(pattern), most
-        self.stretches, self.pieces = _Seen(), {}
+        self.stretches, self.pieces = _Seen({}), {}
 
     def merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         out, sized = {}, {}
@@ -179,13 +184,16 @@ class Encoder:
         self.stretches.update((x, b"".join(map(self.pieces.__getitem__, p))) for x, p in zip(stretches, parted))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.stretches) > self.most or len(self.pieces) > self.most:
-            self.stretches, self.pieces = _Seen(), {}
+        if len(self.stretches) > self.most:
+            self.stretches = _Seen(dict(self.stretches))
+        if len(self.pieces) > self.most:
+            self.pieces = {}
         seen, parted = self.stretches, [_STRETCH.findall(x) for x in texts]
         out, again = [], []
         for i, x in enumerate(parted):
+            before = seen.missed
             out.append(b"".join(map(seen.__getitem__, x)))
-            if seen.new:
+            if seen.missed > before:
                 again.append(i)
         if again:
             self.learn(list(seen.new))
@@ -195,6 +203,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each Python worker, so that later tasks know what earlier ones have merged."""
+    return Encoder(path, pattern)
+
+
 def decode(ids: bytes, r: Ranks) -> bytes:
     return b"".join(map(r.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -206,7 +220,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, pattern)
+        encode = encoder(path, pattern)
         for frame in batches(frames, 256):
             ids = encode(frame.column(1).to_pylist())
             columns = [frame.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(decode(x, encode.ranks)).hexdigest() for x in ids], pa.string())]
