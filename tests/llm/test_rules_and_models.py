@@ -1,0 +1,233 @@
+"""Rules, surrogates, fingerprints, classifiers and the pipeline, on small tables with odd rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logspark.llm import imatch, importance, quality_divergence, queries, surrogates, toxicity
+from tests.conftest import SF_DIR
+
+pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, entities int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    texts = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "a b c a b c a b c"), (6, "x y z " * 20_000), (7, "same\nsame\n \n \nother"), (7, "same\nsame\n \n \nother"), (8, "y" * 50_000), (None, "# * $ % & | < > word"), (9, "Ünï 文字 🙂 " * 30)]
+    return spark.createDataFrame([(i, t, ("en", None, "xx", "EN")[k % 4], "s", None, "k", 1) for k, (i, t) in enumerate(texts)], SCHEMA)
+
+
+def base_counts(text):
+    w, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for k in range(3)}
+    n, again = len(w), len(covered)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), again, n < 50 or 100 * again > 50 * n
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_base_rules(odd):
+    got = quality_divergence.judged(odd)
+    want = [(r.doc_id, *base_counts(r.text)) for r in odd.collect()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", *BASE).collect())
+    assert quality_divergence.judged(odd.limit(0)).count() == 0 and got.where("kept and base_failed").count() == 0
+    assert quality_divergence.keep_good(odd).columns == odd.columns
+
+
+def test_op1_query(spark):
+    got = {r.doc_id: r for r in queries.op1_distribution_divergence(spark, SF_DIR).collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    for r in docs:
+        assert tuple(got[r.doc_id][c] for c in BASE) == base_counts(r.text)
+    # distances by brute force
+    classes = [re.compile("[a-z]"), re.compile(r"[\x20\x09-\x0D]"), re.compile("[A-Z]"), None, None, re.compile("[.,;:?'\"()-]")]
+
+    def hist(text):
+        out = [0] * 7
+        for c in text:
+            k = next((i for i, p in enumerate(classes[:3]) if p.match(c)), None)
+            k = k if k is not None else 3 if c.isalpha() else 4 if c.isnumeric() else 5 if classes[5].match(c) else 6
+            out[k] += 1
+        return out
+
+    refs = {r["__lang"]: r for r in quality_divergence.language_references(spark.read.parquet(f"{SF_DIR}/documents.parquet")).collect()}
+
+    def js(p, q):
+        p = [x / sum(p) for x in p]
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        return math.sqrt(sum(a * math.log2(a / c) for x in (p, q) for a, c in zip(x, m) if a > 0) / 2)
+
+    for r in docs[:80]:
+        if got[r.doc_id].class_distance is not None:
+            assert abs(got[r.doc_id].class_distance - js(hist(r.text), refs[r.lang]["__ref_classes"])) < 1e-9
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    verdict = Counter((labels[d], g.kept) for d, g in got.items() if d in labels and not g.base_failed)
+    assert verdict[1, True] >= 0.95 * (verdict[1, True] + verdict[1, False]) and verdict[0, False] >= 0.9 * (verdict[0, True] + verdict[0, False])
+
+
+def edited(rows):
+    for i, (d, t) in enumerate(rows):
+        t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        yield d, len(t), hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()
+
+
+def test_imatch_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    found = queries.op3_imatch(spark, SF_DIR).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == sorted(edited(rows))
+    texts, by = dict(rows), {}
+    for r in found:
+        by.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert all(len(x) == 1 for x in by.values())
+    assert np.median([r.near_edited for r in found]) > np.mean([r.near_next for r in found]) + 0.3
+
+
+def test_imatch_odd(odd, spark):
+    found = imatch.edited_report(odd)
+    assert sorted(str(r.doc_id) for r in found.collect()) == sorted(str(r.doc_id) for r in odd.collect())
+    assert imatch.edited_report(odd.limit(0)).count() == 0
+    one = imatch.edited_report(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
+    assert (one.n_chars, one.edited_sha256) == (8, hashlib.sha256(b"abcdefab").hexdigest())
+
+
+def test_imatch_terms_by_brute_force(spark):
+    """Signatures of a text are those of its terms in the band, subset by subset."""
+    d = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").limit(60)
+    terms = imatch.lexicon(d, 0.05, 0.5)
+    known = {r.term for r in terms.collect()}
+    df = Counter(w for r in d.collect() for w in set(WORD.findall(r.text.lower())))
+    hashed = spark.createDataFrame([(w,) for w in df], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    assert {r.h for r in hashed if max(2, 3) <= df[r.w] <= 30} == known
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Dear Mrs. Anna Weber, call +1 (555) 123-4567 or mail a.weber@mail5.example.com from 192.168.1.10."),
+        (2, "MRS. ANNA WEBER: 4111 1111 1111 1111, 4111111111111111; A.WEBER@MAIL5.EXAMPLE.COM"),
+        (3, None), (4, ""), (5, "token = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\" господин Иванов 123-45-6789 v 1.2.3.4.5 and 12345"), (6, "no data"), (6, "no data"), (None, "x@y.zz " + "word " * 30_000),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entities", F.lit(1))
+    got = {r.doc_id: r for r in surrogates.with_surrogates(d, "k").collect()}
+    one, two, five = got[1], got[2], got[5]
+    assert [e.kind for e in one.entities] == ["name", "phone", "email", "ip"] and [e.kind for e in five.entities] == ["secret", "name", "ssn"]
+    assert not re.search("Weber|555|123-4567|192.168.1.10", one.text) and "WEBER" not in two.text and "Иванов" not in five.text
+    assert one.entities[0].surrogate.upper() == two.entities[0].surrogate.upper() and one.entities[2].surrogate.upper() == two.entities[3].surrogate
+    assert one.entities[0].surrogate.split()[1].lower() in surrogates.GIVEN["latin"]["f"] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", one.entities[1].surrogate)
+    card, same = two.entities[1].surrogate, two.entities[2].surrogate
+    digits = [int(x) for x in same]
+    assert card.replace(" ", "") == same and sum(sum(divmod(x * 2, 10)) if i % 2 == 0 else x for i, x in enumerate(digits)) % 10 == 0
+    assert re.fullmatch("[А-Яа-я]+", five.entities[1].surrogate.split()[1]) and "1.2.3.4.5 and 12345" in five.text and re.fullmatch("[0-9A-F]{40}", five.entities[0].surrogate)
+    assert got[3].text is None and got[4].text == "" and got[6].text == "no data" and surrogates.with_surrogates(d.limit(0), "k").count() == 0
+    assert surrogates.with_surrogates(d, "k").count() == len(rows)
+    other = {r.doc_id: r for r in surrogates.with_surrogates(d, "other").collect()}
+    assert other[1].entities[2].surrogate != one.entities[2].surrogate
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With few surrogates to draw from, those that collide take later ones."""
+    monkeypatch.setattr(surrogates, "ALPHABETS", (("[0-9]", "012"), *surrogates.ALPHABETS[1:]))
+    rows = [(i, f"id 900-{i // 10 % 10}{i % 10}-55{i // 100}{i % 7} end") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert surrogates.later_attempts(d, "k").count() > 0
+    found = surrogates.with_surrogates(d, "k").collect()
+    real = {t for _, t in rows}
+    assert len({r.text for r in found}) == len(real) and all(len(r.entities) == 1 for r in found)
+
+
+def test_surrogates_query(spark):
+    found = queries.op5_surrogates(spark, SF_DIR).select("doc_id", "text", F.size("entities").alias("n")).collect()
+    texts = dict(tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect())
+    for r in found:
+        assert (r.n == 0) == (r.text == texts[r.doc_id])
+        for email in re.findall(r"\S+@\S+", texts[r.doc_id]):
+            assert email not in r.text
+
+
+def test_restoring():
+    shares = {w: 0.9 for w in ("idiot", "moron", "worthless", "scum")}
+    counts = Counter(f"^^{w}$"[i : i + 3] for w in [*shares, "there", "then", "word"] * 50 for i in range(len(w) + 1))
+    letters = toxicity.Letters(counts)
+    model = toxicity.Model(0.1, shares, letters, (-2.0, 1.0, 0.5, 0.5, -0.2))
+    for w in ("1d10t", "i.d.i.o.t", "iidddiiiot", "m0r0n", "sc*m", "idiot!!", "(moron)"):
+        assert model.gain(w) > 0, w
+    gains = toxicity._Gains(model)
+    assert model.gain("then") == model.gain("10") == model.gain("") == 0 and toxicity.score("you i d i o t.", gains) > 0.5 > toxicity.score("", gains)
+
+
+def test_toxicity_query(spark):
+    sf = SF_DIR.replace("0.001", "0.01")
+    found = queries.op8_deobfuscated_toxicity(spark, sf)
+    rows = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    known = [r for r in rows if r.toxic is not None]
+    assert np.mean([r.predicted for r in known if r.toxic == 0]) < 0.05 and np.mean([r.predicted for r in known if r.toxic]) > 0.5
+    pos, neg = ([r.score for r in known if r.held_out and r.toxic == k] for k in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.75
+
+
+def test_toxicity_odd(odd, spark):
+    empty = toxicity.fit(toxicity.labelled(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))
+    got = toxicity.scored(odd, empty)
+    assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0 and toxicity.scored(odd.limit(0), empty).count() == 0
+
+
+def test_importance(odd, spark):
+    target = spark.createDataFrame([("one same other",)], "text string")
+    got = importance.resampled(odd, target, 0.5)
+    assert got.count() == odd.count() and got.where("kept").count() >= math.ceil(0.5 * odd.count())
+    assert importance.resampled(odd.limit(0), target).count() == 0 and importance.resampled(odd, target.limit(0)).where("log_ratio <> 0 and log_ratio is null").count() == 0
+    d, n = odd.where("doc_id = 4"), importance.BUCKETS
+    hashes = importance._Hashes()
+    raw = sum(np.bincount(importance.gram_buckets((r.text or "").encode(), hashes).astype(int), minlength=n) for r in odd.collect()) + 1.0
+    aim = np.bincount(importance.gram_buckets(b"one same other", hashes).astype(int), minlength=n)
+    ratio = np.log((aim + 1000 * raw / raw.sum()) / (aim.sum() + 1000) / (raw / raw.sum()))
+    assert abs(got.where("doc_id = 4").first().log_ratio - ratio[importance.gram_buckets(d.first().text.encode(), hashes).astype(int)].sum()) < 1e-9
+
+
+@pytest.mark.parametrize("fits", [5, 1000])
+def test_gumbel_top_k_is_exact(spark, fits):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 7.0).alias("key"))
+    want = sorted(((r.key, r.doc_id) for r in d.collect()), reverse=True)
+    for k in (1, 100, 2400, 2999):
+        assert tuple(importance.least_of_top(d, k, fits)) == want[k - 1]
+    assert importance.least_of_top(d, 3000) is None
+
+
+def test_importance_query(spark):
+    rows = queries.op2_importance_resampling(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id").collect()
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.85 and (not bad or np.mean(bad) < 0.4)
+
+
+def test_pipeline_is_its_stages(spark):
+    """Each stage alone, on what the one before kept, and in the end every token once."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from logspark.llm import packing
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, spark.createDataFrame(stage(spark, kept, SF_DIR).collect(), docs.schema)
+        assert kept.columns == docs.columns and kept.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
+        assert kept.where("n_chars <> length(text)").count() == 0 and (kept.count() == before.count()) == (name in ("passage_dedup", "private_data"))
+    tok = Tokenizer.from_file(queries.word_ids())
+    want = Counter()
+    for r in kept.collect():
+        ids = np.array([*tok.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, ids.size, packing.CAPACITY):
+            want[r.doc_id, at, zlib.crc32(ids[at : at + packing.CAPACITY].tobytes())] += 1
+    assert want == Counter((r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, SF_DIR).collect())
