@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logspark.llm import bpe, external_shuffle, imatch, importance, packing, quality_divergence, simhash, surrogates, toxicity, unit_dedup
 from logspark.llm.common import documents, importable
+from logspark.llm.oracle import OP1
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def word_ids() -> str:
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_divergence.judged(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))
 
 
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has none of the other queries' hashes, tokenizers and models."""
+    return {"op1_distribution_divergence": OP1}
