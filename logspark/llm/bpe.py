@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from logspark.llm.common import batches
 
 #: White space as Unicode has it, which is narrower than Python's.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches across which no match of the pattern reaches.
 _STRETCH = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 NONE, SHIFT = np.int64(1 << 62), 32

@@ -24,6 +24,7 @@ GIVEN = {
 SYLLABLES = {"latin": "bar den fol gar hin jor kel lam mor nad pel rin sol tav ver wim".split(), "cyrillic": "бар ден фол гар лин мор над пел рин сол тав вер ким дор жан зим".split()}
 #: Alphabets a letter or digit is drawn from, by what it is.
 ALPHABETS = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), (r"[Ѐ-ӿ]", "абвгдежзиклмнопрстуфхцчшщэюя"), (r"[Ͱ-Ͽ]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[à-ÿ]", "àáâäçèéêëìíîïñòóôöùúûü"))
+ROUNDS = 100
 _L, _N = r"[\p{L}\p{N}]", r"(?![\p{L}\p{N}])"
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 #: Kind and pattern, tried in this order.
@@ -96,7 +97,9 @@ def _named(what: Column, kind: Column, key: str, attempt: Column) -> Column:
     by_script = lambda of: reduce(lambda r, s: F.when(script == s, of(s)).otherwise(r), [x for x in SYLLABLES if x != "latin"], of("latin"))
     pick = lambda words, b: F.element_at(F.array(*map(F.lit, words)), F.pmod(b, F.lit(len(words))) + 1)
     own, first = _stream(key, kind, rest, attempt), _stream(key, F.lit("given"), F.coalesce(given, F.lit("")), F.lit(0))
-    last = by_script(lambda s: F.concat(*[pick(SYLLABLES[s], _byte(own, F.lit(i))) for i in range(5)]))
+    # Later attempts have longer names, so that there are always enough of them.
+    more = lambda s: [F.when(attempt > k, pick(SYLLABLES[s], _byte(own, F.lit(5 + k)))).otherwise("") for k in range(8)]
+    last = by_script(lambda s: F.concat(*[pick(SYLLABLES[s], _byte(own, F.lit(i))) for i in range(5)], *more(s)))
     called = by_script(lambda s: F.when(gender == "m", pick(GIVEN[s]["m"], _byte(first, F.lit(0)))).when(gender == "f", pick(GIVEN[s]["f"], _byte(first, F.lit(0)))).otherwise(pick(GIVEN[s]["n"], _byte(first, F.lit(0)))))
     return F.concat_ws(" ", gender, F.when(given.isNotNull(), called), last)
 
@@ -145,12 +148,13 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame:
     """(kind, what, attempt): the distinct entities of docs whose first surrogate collided, and how often.
 
     Surrogates are grouped by their own value; the least of those that share one keeps it. Rounds go on
-    until no two share one and none is the canonical form of a real entity of its kind."""
+    until no two share one and none is the canonical form of a real entity of its kind; a kind whose format
+    has fewer forms than there are entities can't be kept distinct, which is an error."""
     matches = docs.select(F.explode(_found(F.col("text"))).alias("m"))
     with_kind = matches.select("m", kind_of(F.col("m")).alias("kind"))
     every = checkpointed(with_kind.select("kind", canonical(F.col("m"), F.col("kind")).alias("what")).distinct().withColumn("attempt", F.lit(0)))
     real = every.select(F.col("kind").alias("k"), F.col("what").alias("w"))
-    while True:
+    for _ in range(ROUNDS):
         made = every.withColumn("new", surrogate(F.col("kind"), F.col("what"), F.col("attempt"), key))
         order = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "what"))
         checked = made.withColumn("nth", order).join(real, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("w")), "left")
@@ -159,6 +163,7 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame:
         if not every.where("bad").limit(1).count():
             return every.where("attempt > 0").select("kind", "what", "attempt")
         every = every.drop("bad")
+    raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
