@@ -1,7 +1,8 @@
 """Substring de-duplication by hashing units: lines, and runs of segments inside lines.
 
-A text is cut into lines, and each line into segments at words whose own hash says so, so that a
-passage is cut at the same words wherever it stands. Digests of the normalised units (lower case,
+A text is cut into lines, and each line into segments at the words of least hash of every 2 * `cut`
+words in a row, so that a passage is cut at the same words wherever it stands and has a cut among any
+2 * `cut` of its words: one inside lines of run_words + 4 * cut words or more is always found. Digests of the normalised units (lower case,
 single blanks) are grouped over all documents; of each digest the earliest occurrence is kept, by
 (doc_id, hash of the text, position). Removed are repeats of lines of at least `line_words` words,
 and repeats of consecutive segments of at least `run_words` words together. Spans are code points
@@ -27,28 +28,56 @@ UNIT = "digest long, doc_id long, text_hash long, place int"
 
 
 class _Cuts(dict):
-    """Whether a segment ends at a word; what has been seen is kept, up to a bound."""
+    """Hash of each word, by which lines are cut; what has been seen is kept, up to a bound.
+
+    A word starts a segment where its hash is the least (of equal ones the last) of some `window` words
+    in a row of its line: any `window` words have a cut, and a passage has the same cuts wherever it
+    stands, from the first to the last one that its own words make."""
 
     def __init__(self, cut: int, most: int = 500_000):
-        self.cut, self.most = cut, most
+        self.window, self.most = 2 * cut, most
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word) % self.cut == 0
+        self[word] = x = xxhash.xxh3_64_intdigest(word) >> 32 << 32
         return x
 
+    def starts(self, sizes: list[int], found: list[str]) -> list[int]:
+        """Ascending places of the words that start a segment; sizes: the words of each line."""
+        n = len(found)
+        if n < self.window:
+            return []
+        last = np.uint64(0xFFFFFFFF)
+        least = np.fromiter(map(self.__getitem__, found), np.uint64, n) | (last - np.arange(n, dtype=np.uint64))
+        width = 1
+        while width < self.window:
+            step = min(width, self.window - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        whole = line[: least.size] == line[self.window - 1 :]
+        return np.unique(last - (least[whole] & last)).tolist()
+
 
 def lines(text: str, cuts: _Cuts) -> Iterator[tuple[int, str, list[str], list[int]]]:
     """(start, line, lower-cased words, number of words up to the end of each segment) of lines with words."""
-    at = 0
+    at, every, words = 0, [], []
     for line in text.split("\n"):
         if found := line.lower().split():
-            ends = [i for i, c in enumerate(map(cuts.__getitem__, found), 1) if c]
-            if not ends or ends[-1] != len(found):
-                ends.append(len(found))
-            yield at, line, found, ends
+            every.append((at, line, found))
+            words += found
         at += len(line) + 1
+    starts, k, first = cuts.starts([len(x[2]) for x in every], words), 0, 0
+    for at, line, found in every:
+        ends, last = [], first + len(found)
+        while k < len(starts) and starts[k] < last:
+            if starts[k] > first:
+                ends.append(starts[k] - first)
+            k += 1
+        ends.append(len(found))
+        yield at, line, found, ends
+        first = last
 
 
 def units(text: str, cuts: _Cuts, line_words: int = LINE_WORDS) -> tuple[list[int], list[int]]:

@@ -204,3 +204,24 @@ def test_unit_dedup_passages(spark, odd):
     out = unit_dedup.without_repeats(odd)
     assert out.count() == odd.count() and out.where("doc_id = 1").first().text is None and unit_dedup.without_repeats(odd.limit(0)).count() == 0
     assert {"lang", "source", "flags", "h"} <= set(out.columns)
+
+
+def test_unit_dedup_finds_every_passage_of_51_words(spark):
+    """Random windows of real texts in every language, between other words: none may stay whole, and only their ends may."""
+    pick, rows, planted = random.Random(5), [], []
+    texts = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").where("text is not null").select("lang", "text").orderBy("doc_id").collect()
+    mine = lambda k: " ".join(f"u{k}x{j}" for j in range(30))
+    for lang in sorted({r.lang for r in texts if r.lang}):
+        long = [w for r in texts if r.lang == lang for line in r.text.split("\n") if len(w := line.split()) >= 51]
+        assert long
+        for _ in range(100):
+            words = pick.choice(long)
+            at = pick.randrange(len(words) - 50)
+            planted.append(words[at : at + 51])
+    for k, words in enumerate(planted):
+        for copy in range(2):
+            rows.append((2 * k + copy, f"{mine(2 * k + copy)} {' '.join(words)} {mine(-2 * k - copy - 1)}"))
+    got = {r.doc_id: r.text for r in unit_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(len(planted)):
+        left = [w for w in got[2 * k + 1].split() if not w.startswith("u")]
+        assert len(left) <= 23 and mine(2 * k + 1) in got[2 * k + 1]
