@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import packing, quality_divergence, simhash, surrogates, unit_dedup
+from logspark.llm import near_copies, packing, quality_divergence, surrogates, unit_dedup
 from logspark.llm.common import documents, importable
 from logspark.llm.queries import KEY, word_ids
 
@@ -29,9 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least doc_id."""
+    """One document of each near-duplicate group stays, the one with the least doc_id.
+
+    Near: the sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     importable(spark)
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
