@@ -23,23 +23,44 @@ def shuffled(records: DataFrame, key: str, size: str, shards: int = 16, seed: in
 
     size: column with a record's bytes. The order within a shard is uniformly random and depends on
     the seed and the records alone. Records with the same key, or none, share a shard but are
-    scattered over its buckets by all their columns. Repeated rows each get a slot of their own. Own
+    scattered over its buckets by all their columns. Repeated rows each get a slot of their own, their
+    copies dealt in equal numbers to the buckets. Own
     columns named shard, slot or grown_shard are replaced; an empty table stays empty."""
     own = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
     total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     lot = F.xxhash64(F.lit(seed), *own)
-    keyed = records.select(*own, shard_of(F.col(key), shards, seed).alias("shard"), F.pmod(lot, F.lit(buckets)).alias("__bucket"), F.xxhash64(F.lit(seed + 1), *own).alias("__lot"))
-    sizes = keyed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    keyed = _dealt(records.select(*own, lot.alias("__first")), own, buckets).select(
+        *own, "__copies", shard_of(F.col(key), shards, seed).alias("shard"), "__bucket", F.xxhash64(F.lit(seed + 1), *own).alias("__lot")
+    )
+    sizes = keyed.groupBy("shard", "__bucket").agg(F.sum("__copies").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
     parts = min(shards * buckets, 20_000)
-    gathered = keyed.repartition(parts, "shard", "__bucket").groupBy("shard", "__bucket").agg(F.sort_array(F.collect_list(F.struct("__lot", *own))).alias("__rows"))
-    mixed = gathered.join(starts, ["shard", "__bucket"]).sortWithinPartitions("shard", "__bucket").select("shard", "__start", F.shuffle("__rows", seed).alias("__rows"))
+    gathered = keyed.repartition(parts, "shard", "__bucket").groupBy("shard", "__bucket").agg(F.sort_array(F.collect_list(F.struct("__lot", *own, "__copies"))).alias("__rows"))
+    every = F.flatten(F.transform("__rows", lambda r: F.array_repeat(r, r["__copies"])))
+    rows = F.when(F.exists("__rows", lambda r: r["__copies"] > 1), every).otherwise(F.col("__rows"))
+    mixed = gathered.join(starts, ["shard", "__bucket"]).sortWithinPartitions("shard", "__bucket").select("shard", "__start", F.shuffle(rows, seed).alias("__rows"))
     placed = mixed.select("shard", "__start", F.posexplode("__rows").alias("__at", "__row"))
     return placed.select(*[F.col("__row")[c].alias(c) for c in own], "shard", (F.col("__start") + F.col("__at")).alias("slot"), shard_of(F.col("__row")[key], shards + 1, seed).alias("grown_shard"))
 
 
+def _dealt(keyed: DataFrame, own: list[str], buckets: int) -> DataFrame:
+    """keyed with __bucket and __copies: identical rows are counted, and their copies dealt in turn over the buckets."""
+    first = F.col("__first")
+    twice = keyed.groupBy("__first").agg(F.count("*").alias("__n")).where("__n > 1").select("__first")
+    repeated = twice.count() if buckets > 1 else 0
+    one = [F.pmod(first, F.lit(buckets)).alias("__bucket"), F.lit(1).alias("__copies")]
+    if not repeated:
+        return keyed.select(*own, *one)
+    twice = F.broadcast(twice) if repeated <= 1_000_000 else twice
+    many = keyed.join(twice, "__first", "left_semi").groupBy("__first", *own).agg(F.count("*").alias("__n"))
+    many = many.select(*own, "__first", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("__n", F.lit(buckets)) - 1)).alias("__k"))
+    copies = F.floor((F.col("__n") - 1 - F.col("__k")) / buckets).cast("int") + 1
+    dealt = many.select(*own, F.pmod(F.pmod(first, F.lit(buckets)) + F.col("__k"), F.lit(buckets)).alias("__bucket"), copies.alias("__copies"))
+    return keyed.join(twice, "__first", "left_anti").select(*own, *one).union(dealt)
+
+
 def write_shards(placed: DataFrame, path: str) -> None:
     """One folder for each shard, its records in the order of their slots over the files."""
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

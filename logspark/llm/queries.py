@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +53,12 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    records = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    found = external_shuffle.shuffled(records, "doc_id", "size")
-    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    size = (F.octet_length(text) + 1).cast("long")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="external-shuffle-")
+    path = f"{folder}/external-shuffle-{uuid.uuid4().hex}"
+    external_shuffle.write_shards(external_shuffle.shuffled(documents(spark, sf_dir).withColumn("__size", size), "doc_id", "__size").drop("__size"), path)
+    found = spark.read.parquet(path)
+    return found.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

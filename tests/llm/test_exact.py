@@ -225,3 +225,28 @@ def test_unit_dedup_finds_every_passage_of_51_words(spark):
     for k in range(len(planted)):
         left = [w for w in got[2 * k + 1].split() if not w.startswith("u")]
         assert len(left) <= 23 and mine(2 * k + 1) in got[2 * k + 1]
+
+
+def test_external_shuffle_deals_identical_rows(spark):
+    """Copies of one row are spread over its shard, not in one bucket, and every run places them alike."""
+    rows = [(7, "same " * 20)] * 400 + [(7, f"other {i} " * 10) for i in range(400)]
+    records = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.octet_length("text") + 1)
+    place = lambda d: sorted((r.slot, r.text) for r in external_shuffle.shuffled(d, "doc_id", "size", shards=1, bucket_bytes=4000).collect())
+    got = place(records)
+    assert [s for s, _ in got] == list(range(800)) and sorted(t for _, t in got) == sorted(t for _, t in rows)
+    assert all(20 <= sum(t.startswith("same") for _, t in got[at : at + 100]) <= 80 for at in range(0, 800, 100))
+    assert place(records.repartition(7)) == got
+
+
+def test_external_shuffle_carries_documents(spark, monkeypatch, tmp_path):
+    """The query sends whole documents through the operator and writes them in shards."""
+    taken, written = [], []
+    shuffled, write = external_shuffle.shuffled, external_shuffle.write_shards
+    monkeypatch.setattr(external_shuffle, "shuffled", lambda d, *a, **k: taken.append(d.columns) or shuffled(d, *a, **k))
+    monkeypatch.setattr(external_shuffle, "write_shards", lambda d, p: written.append(p) or write(d, p))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    found = sorted((r.doc_id, r["size"], r.text_crc32) for r in queries.op6_external_shuffle(spark, SF_DIR).collect())
+    assert set(docs.columns) <= set(taken[0])
+    stored = spark.read.parquet(written[0])
+    assert stored.select(docs.columns).exceptAll(docs).count() == 0 and stored.count() == docs.count()
+    assert found == sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
