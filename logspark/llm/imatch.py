@@ -2,8 +2,8 @@
 
 The lexicon holds the terms whose document frequency lies in a band. Random subsets of it, by seeded
 hashes, at several rates, give each text one signature each: a hash of the distinct terms that the
-text has in the subset. The hash is one of the set (sum and exclusive-or of term hashes), so the
-terms need not be gathered to be sorted. A text without any term of the lexicon gets one signature
+text has in the subset. The hash is one of the set (exclusive-or of two hashes of each term, and their
+number), so the terms need not be gathered to be sorted. A text without any term of the lexicon gets one signature
 of all its terms. Built-in functions only.
 """
 
@@ -14,13 +14,14 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpointed, words
+from logspark.llm.common import checkpointed, last_at_most, words
 
 #: (rate: a subset holds one in so many terms, number of subsets): coarse ones tell short texts, fine ones long texts.
 LEVELS = ((1, 1), (4, 4), (16, 8), (64, 12), (256, 16), (1024, 16))
 REST = 63  # number of the signature of texts without terms of the lexicon
 NO_ID = -(1 << 63)  # stands for a null doc_id, so that joins need no null-safe keys
-MOST_BROADCAST = 2_000_000  # terms
+MOST_BROADCAST = 200_000  # terms, about 20 MB with their subsets
+MOST_PARTS = 65_536
 
 
 def _terms(text: Column) -> Column:
@@ -55,8 +56,9 @@ def signatures(texts: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame
         terms = F.broadcast(terms)
     each = texts.select(*keys, F.explode_outer(_terms(F.col("text"))).alias("t")).select(*keys, F.xxhash64("t").alias("term"))
     found = each.join(terms, "term", "left").select(*keys, "term", F.explode_outer("subsets").alias("subset"))
-    h = F.xxhash64("term", F.lit(1))
-    hashed = found.groupBy(*keys, "subset").agg(F.sum(F.shiftright(h, 8)).alias("a"), F.bit_xor(h).alias("b"), F.count("*").alias("c"))
+    # Exclusive-or of two independent hashes, and the count: of any number of terms, without overflow.
+    mixed = [F.bit_xor(F.xxhash64("term", F.lit(seed))).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+    hashed = found.groupBy(*keys, "subset").agg(*mixed, F.count("*").alias("c"))
     low = F.xxhash64("a", "b", "c").bitwiseAND(F.lit(0xFFFFFFFF))
     code = F.shiftleft(F.coalesce("subset", F.lit(REST)).cast("long"), 32).bitwiseOR(low)
     codes = hashed.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("codes"))
@@ -85,59 +87,69 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*shares))
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_chars, next_id, next_hash): the next document by (doc_id, text_hash), the first after the last.
-
-    Only ids are sorted. A range of them looks ahead by itself, and the first of each range, one row for
-    each partition, is handed to the range before."""
-    ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).groupBy("doc_id", "text_hash").agg(F.max("n_chars").alias("n_chars"))
-    place = F.monotonically_increasing_id()
-    placed = checkpointed(ids.orderBy("doc_id", "text_hash").select("*", F.shiftright(place, 33).alias("part"), place.alias("place")))
-    heads = placed.groupBy("part").agg(F.min_by(F.struct("doc_id", "text_hash"), "place").alias("head"))  # a row for each partition
-    after = F.lead("head").over(Window.orderBy("part"))
-    first = F.first("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    handed = heads.select("part", F.coalesce(after, first).alias("handed"))
-    inner = F.lead(F.struct("doc_id", "text_hash")).over(Window.partitionBy("part").orderBy("place"))
-    found = placed.withColumn("inner", inner).join(F.broadcast(handed), "part")
-    following = F.coalesce("inner", "handed")
-    return found.select("doc_id", "text_hash", "n_chars", following["doc_id"].alias("next_id"), following["text_hash"].alias("next_hash"))
-
-
-def edited_texts(docs: DataFrame, following: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text, edited): the last quarter of each text replaced by as much of the next text's start."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    want = following.select(F.col("next_id").alias("i"), F.col("next_hash").alias("h"), F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), F.floor(F.col("n_chars") / 4).cast("int").alias("q"))
-    starts = own.join(want, (own.doc_id == want.i) & (own.text_hash == want.h)).select("to_id", "to_hash", F.substring("text", F.lit(1), F.col("q")).alias("start"))
-    starts = starts.groupBy("to_id", "to_hash").agg(F.max("start").alias("start"))  # equal rows have equal starts
-    n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("start", F.lit("")))
-    return own.join(starts, (own.doc_id == starts.to_id) & (own.text_hash == starts.to_hash), "left").select("doc_id", "text_hash", "text", edited.alias("edited"))
-
-
-def edited_report(docs: DataFrame, least: float = 1 / 2000, most: float = 0.1) -> DataFrame:
-    """Fingerprints of every text and of its edited text, with likenesses; see edited_texts and likeness.
-
-    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A null
-    text counts as empty. Rows that repeat doc_id and text are one document, returned once for each
-    row; a null doc_id ranks first."""
+def range_heads(ids: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """The least (doc_id, text_hash) of each of about `parts` ranges with equal numbers of ids, ascending."""
+    ranged = ids.repartitionByRange(parts, "doc_id", "text_hash")
+    heads = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    return sorted((r.doc_id, r.text_hash) for r in heads.select("head.*").collect())  # one row a range
+
+
+def with_next(docs: DataFrame, heads: list[tuple[int, int]]) -> DataFrame:
+    """docs(doc_id, text_hash, ...) dealt into the ranges that start at heads, with part and guest.
+
+    The first of each range is also a guest at the end of the range before, so that each row finds the
+    next one in its own range: texts are shuffled once. Windows over ORDER need no other shuffle."""
+    listed = [F.split(F.lit(",".join(str(h[k]) for h in heads)), ",").cast("array<bigint>") for k in (0, 1)]
+
+    def reached(i: Column) -> Column:
+        first, second = F.get(listed[0], i), F.get(listed[1], i)
+        return (F.col("doc_id") > first) | ((F.col("doc_id") == first) & (F.col("text_hash") >= second))
+
+    part, n = last_at_most(len(heads), reached) - 1, len(heads)
+    placed = docs.withColumn("own", part)
+    head = (F.col("doc_id") == F.get(listed[0], F.col("own"))) & (F.col("text_hash") == F.get(listed[1], F.col("own")))
+    stay = F.struct(F.col("own").alias("part"), F.lit(False).alias("guest"))
+    visit = F.struct(F.pmod(F.col("own") + (n - 1), F.lit(n)).alias("part"), F.lit(True).alias("guest"))
+    return placed.select("*", F.inline(F.when(head, F.array(stay, visit)).otherwise(F.array(stay)))).drop("own")
+
+
+def next_of(name: str) -> Column:
+    return F.lead(name).over(Window.partitionBy("part").orderBy("guest", "doc_id", "text_hash"))
+
+
+def edited_text(text: Column, following: Column) -> Column:
+    """text with its last quarter replaced by as much of the start of what follows."""
+    n = F.length(text)
+    q = F.floor(n / 4).cast("int")
+    return F.concat(F.substring(text, F.lit(1), n - q), F.substring(following, F.lit(1), q))
+
+
+def edited_report(docs: DataFrame, least: float = 1 / 2000, most: float = 0.1, part_bytes: int = 8 << 20) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with likenesses; see edited_text and likeness.
+
+    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The next
+    document is the one with the next larger (doc_id, hash of the text); the first follows the last. A
+    null text counts as empty. Rows that repeat doc_id and text are one document, returned once for each
+    row; a null doc_id ranks first. Ranges of ids hold about part_bytes of texts, but there are no more than
+    MOST_PARTS of them, which spill if they must."""
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    following = checkpointed(next_documents(docs))
-    texts = edited_texts(docs.groupBy("doc_id", "text").agg(F.count("*").alias("n")) if _repeats(following, docs) else docs, following)
-    both = texts.select("doc_id", "text_hash", F.sha2("edited", 256).alias("sha"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    keys = ["doc_id", "text_hash", "which", "sha"]
-    sides = signatures(both, keys, lexicon(docs, least, most))
+    terms = lexicon(docs, least, most)
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    ids = checkpointed(docs.select("doc_id", "text_hash", F.octet_length("text").alias("bytes")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")))
+    total = ids.agg(F.sum("bytes").alias("bytes"), F.max("n").alias("n")).first()
+    repeats = (total.n or 0) > 1
+    if repeats:
+        docs = docs.groupBy("doc_id", "text_hash", "text").agg(F.count("*").cast("int").alias("n"))
+    heads = range_heads(ids, min(MOST_PARTS, max(16, (total.bytes or 0) // part_bytes)))
+    placed = with_next(docs, heads or [(NO_ID, 0)]).withColumn("next", next_of("text"))
+    texts = placed.withColumn("edited", edited_text(F.col("text"), F.coalesce("next", F.lit(""))))
+    own = ["part", "guest", "doc_id", "text_hash", *(["n"] if repeats else [])]
+    both = texts.select(*own, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    keys = [*own, "n_chars", "edited_sha256"]
+    sides = signatures(both, [*keys, "which"], terms)
     pick = lambda k: F.max(F.when(F.col("which") == k, F.col("codes")))
-    pairs = checkpointed(sides.groupBy("doc_id", "text_hash").agg(pick(0).alias("codes"), pick(1).alias("edited_codes"), F.max("sha").alias("edited_sha256")))
-    other = pairs.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("codes").alias("next_codes"))
-    f = following.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-    linked = pairs.join(f, (pairs.doc_id == f.id) & (pairs.text_hash == f.hash)).drop("id", "hash")
-    linked = linked.join(other, (linked.next_id == other.i) & (linked.next_hash == other.h))
-    report = linked.select("doc_id", "text_hash", "n_chars", "edited_sha256", written(F.col("codes")).alias("fingerprint"), written(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"), likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
-    if _repeats(following, docs):
-        counts = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").cast("int").alias("n")).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-        report = report.join(counts, (report.doc_id == counts.id) & (report.text_hash == counts.hash)).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("id", "hash", "n")
-    return report.drop("text_hash").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-
-
-def _repeats(following: DataFrame, docs: DataFrame) -> bool:
-    return following.count() < docs.count()
+    pairs = sides.groupBy(*keys).agg(pick(0).alias("codes"), pick(1).alias("edited_codes")).withColumn("next_codes", next_of("codes")).where(~F.col("guest"))
+    codes, edited = F.col("codes"), F.col("edited_codes")
+    if repeats:
+        pairs = pairs.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return pairs.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", written(codes).alias("fingerprint"), written(edited).alias("edited_fingerprint"), likeness(codes, edited).alias("near_edited"), likeness(codes, F.col("next_codes")).alias("near_next"))

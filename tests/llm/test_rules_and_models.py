@@ -3,10 +3,14 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from logspark.llm import imatch, importance, quality_divergence, queries, surrogates, toxicity
@@ -109,14 +113,68 @@ def test_imatch_odd(odd, spark):
     assert (one.n_chars, one.edited_sha256) == (8, hashlib.sha256(b"abcdefab").hexdigest())
 
 
-def test_imatch_terms_by_brute_force(spark):
-    """Signatures of a text are those of its terms in the band, subset by subset."""
-    d = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").limit(60)
-    terms = imatch.lexicon(d, 0.05, 0.5)
-    known = {r.term for r in terms.collect()}
-    df = Counter(w for r in d.collect() for w in set(WORD.findall(r.text.lower())))
-    hashed = spark.createDataFrame([(w,) for w in df], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    assert {r.h for r in hashed if max(2, 3) <= df[r.w] <= 30} == known
+def spark_hash(*parts):
+    """xxhash64 of columns: each goes on from the hash of those before."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, h)
+    return h
+
+
+def in_long(x):
+    return struct.pack("<Q", x)
+
+
+def brute_codes(text, lexicon):
+    def mixed(terms):
+        a, b = (reduce(xor, (spark_hash(in_long(t), struct.pack("<i", k)) for t in terms)) for k in (1, 2))
+        return spark_hash(in_long(a), in_long(b), in_long(len(terms))) & 0xFFFFFFFF
+
+    terms, codes, number = {spark_hash(w) for w in WORD.findall(text.lower())} or {42}, [], 0
+    for rate, n in imatch.LEVELS:
+        for k in range(number, number + n):
+            if mine := [t for t in terms & lexicon if spark_hash(in_long(t), struct.pack("<i", k)) % rate == 0]:
+                codes.append((k, mixed(mine)))
+        number += n
+    return codes or [(imatch.REST, mixed(terms))]
+
+
+def brute_likeness(a, b):
+    shares, number = [], 0
+    for _, n in imatch.LEVELS:
+        level = range(number, number + n)
+        same, either = {x for x in a if x in b and x[0] in level}, {x[0] for x in [*a, *b] if x[0] in level}
+        shares.append(len(same) / max(4, len(either)))
+        number += n
+    return 1.0 if a == b else max(shares)
+
+
+def brute_imatch(rows, least=1 / 2000, most=0.1):
+    """The whole report of distinct (doc_id, text) rows, none of them null."""
+    rows = sorted(rows, key=lambda r: r[0])
+    df = Counter(w for _, t in rows for w in set(WORD.findall(t.lower())))
+    lexicon = {spark_hash(w) for w, n in df.items() if max(2, len(rows) * least) <= n <= max(2, len(rows) * most)}
+    codes = [brute_codes(t, lexicon) for _, t in rows]
+    for i, (d, t) in enumerate(rows):
+        k = (i + 1) % len(rows)
+        edited = t[: len(t) - len(t) // 4] + rows[k][1][: len(t) // 4]
+        other = brute_codes(edited, lexicon)
+        told = [" ".join(f"{a:02x}{b:08x}" for a, b in x) for x in (codes[i], other)]
+        yield d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *told, brute_likeness(codes[i], other), brute_likeness(codes[i], codes[k])
+
+
+def test_imatch_is_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, queries.op3_imatch(spark, SF_DIR).collect())) == sorted(brute_imatch(rows))
+    few = rows[:7]  # fewer documents than ranges
+    assert sorted(map(tuple, imatch.edited_report(spark.createDataFrame(few, "doc_id long, text string")).collect())) == sorted(brute_imatch(few))
+
+
+def test_imatch_of_very_many_words(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(1_000_000))), (2, "a b c d"), (2, "a b c d"), (3, None), (None, "x")]
+    found = sorted((tuple(r) for r in imatch.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [r[:2] for r in found] == [(1, len(rows[0][1])), (2, 7), (2, 7), (3, 0), (None, 1)]
+    assert found[1] == found[2] and found[1][2] == hashlib.sha256(b"a b c d"[:6]).hexdigest() and found[4][2] == hashlib.sha256(b"x").hexdigest()
 
 
 def test_surrogates(spark):
