@@ -2,8 +2,10 @@
 
 The first pass sends each record to a bucket by seeded hashes: the shard by rendezvous hashing of its
 key, so that one more shard takes records only into itself, and within the shard a bucket of about
-`bucket_bytes`. The second pass gathers each bucket, shuffles it with Spark's shuffle(), a seeded
-Fisher-Yates, and numbers the records. Built-in functions only.
+`bucket_bytes`. The second pass draws a keyed random rank for every record of a bucket, sorts the bucket
+by it and writes it: as uniform as Fisher-Yates. Spark's own Fisher-Yates, shuffle(), is seeded by the
+number of the physical partition, so the same table would come out in other orders under other plans.
+Built-in functions only; whole records are shuffled once.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ADDED = ("shard", "bucket", "slot", "grown_shard")
+
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
     """The shard whose hash with the key is the largest."""
@@ -18,49 +22,54 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(each)["s"]
 
 
-def shuffled(records: DataFrame, key: str, size: str, shards: int = 16, seed: int = 7, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """records with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
+def shuffled(records: DataFrame, key: str, size: str | Column, shards: int = 16, seed: int = 7, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """records with shard, bucket, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
 
-    size: column with a record's bytes. The order within a shard is uniformly random and depends on
-    the seed and the records alone. Records with the same key, or none, share a shard but are
-    scattered over its buckets by all their columns. Repeated rows each get a slot of their own, their
-    copies dealt in equal numbers to the buckets. Own
-    columns named shard, slot or grown_shard are replaced; an empty table stays empty."""
-    own = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
+    size: a record's bytes. The order within a shard is uniformly random and depends on the seed and the
+    records alone, whatever the plan; buckets follow one another by their numbers. Records with the same
+    key, or none, share a shard but are scattered over its buckets by all their columns. Repeated rows each
+    get a slot of their own, their copies dealt in equal numbers to the buckets. Own columns named like the
+    four added ones are replaced, any other name is kept; an empty table stays empty."""
+    own = [c for c in records.columns if c not in ADDED]
     total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    lot = F.xxhash64(F.lit(seed), *own)
-    keyed = _dealt(records.select(*own, lot.alias("__first")), own, buckets).select(
-        *own, "__copies", shard_of(F.col(key), shards, seed).alias("shard"), "__bucket", F.xxhash64(F.lit(seed + 1), *own).alias("__lot")
-    )
-    sizes = keyed.groupBy("shard", "__bucket").agg(F.sum("__copies").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("shard", "__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
-    parts = min(shards * buckets, 20_000)
-    gathered = keyed.repartition(parts, "shard", "__bucket").groupBy("shard", "__bucket").agg(F.sort_array(F.collect_list(F.struct("__lot", *own, "__copies"))).alias("__rows"))
-    every = F.flatten(F.transform("__rows", lambda r: F.array_repeat(r, r["__copies"])))
-    rows = F.when(F.exists("__rows", lambda r: r["__copies"] > 1), every).otherwise(F.col("__rows"))
-    mixed = gathered.join(starts, ["shard", "__bucket"]).sortWithinPartitions("shard", "__bucket").select("shard", "__start", F.shuffle(rows, seed).alias("__rows"))
-    placed = mixed.select("shard", "__start", F.posexplode("__rows").alias("__at", "__row"))
-    return placed.select(*[F.col("__row")[c].alias(c) for c in own], "shard", (F.col("__start") + F.col("__at")).alias("slot"), shard_of(F.col("__row")[key], shards + 1, seed).alias("grown_shard"))
+    packed = records.select(F.struct(*own).alias("row"), F.xxhash64(F.lit(seed), *own).alias("lot"))
+    dealt, repeated = _dealt(packed, buckets)
+    keyed = dealt.withColumn("shard", shard_of(F.col("row")[key], shards, seed))
+    sizes = keyed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    scattered = keyed.repartition(min(shards * buckets, 20_000), "shard", "bucket")
+    if repeated:
+        scattered = scattered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    else:
+        scattered = scattered.withColumn("copy", F.lit(1))
+    rank, tie = (F.xxhash64("lot", F.lit(k), "copy") for k in (seed + 1, seed + 2))
+    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(rank, tie))
+    mixed = scattered.withColumn("at", at - 1).join(starts, ["shard", "bucket"])
+    added = {"slot": F.col("start") + F.col("at"), "grown_shard": shard_of(F.col("row")[key], shards + 1, seed)}
+    return mixed.withColumns(added).select("row.*", *ADDED)
+
 
+def _dealt(packed: DataFrame, buckets: int) -> tuple[DataFrame, bool]:
+    """packed(row, lot) with bucket and copies, and whether any are more than one.
 
-def _dealt(keyed: DataFrame, own: list[str], buckets: int) -> DataFrame:
-    """keyed with __bucket and __copies: identical rows are counted, and their copies dealt in turn over the buckets."""
-    first = F.col("__first")
-    twice = keyed.groupBy("__first").agg(F.count("*").alias("__n")).where("__n > 1").select("__first")
-    repeated = twice.count() if buckets > 1 else 0
-    one = [F.pmod(first, F.lit(buckets)).alias("__bucket"), F.lit(1).alias("__copies")]
+    Identical rows are counted before the shuffle, and their copies dealt in turn over the buckets."""
+    twice = packed.groupBy("lot").agg(F.count("*").alias("n")).where("n > 1").select("lot")
+    repeated = twice.count()
+    one = packed.select("row", "lot", F.pmod("lot", F.lit(buckets)).alias("bucket"), F.lit(1).alias("copies"))
     if not repeated:
-        return keyed.select(*own, *one)
+        return one, False
     twice = F.broadcast(twice) if repeated <= 1_000_000 else twice
-    many = keyed.join(twice, "__first", "left_semi").groupBy("__first", *own).agg(F.count("*").alias("__n"))
-    many = many.select(*own, "__first", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("__n", F.lit(buckets)) - 1)).alias("__k"))
-    copies = F.floor((F.col("__n") - 1 - F.col("__k")) / buckets).cast("int") + 1
-    dealt = many.select(*own, F.pmod(F.pmod(first, F.lit(buckets)) + F.col("__k"), F.lit(buckets)).alias("__bucket"), copies.alias("__copies"))
-    return keyed.join(twice, "__first", "left_anti").select(*own, *one).union(dealt)
+    many = packed.join(twice, "lot", "left_semi").groupBy("lot", "row").agg(F.count("*").alias("n"))
+    many = many.select("row", "lot", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(buckets)) - 1)).alias("k"))
+    copies = F.floor((F.col("n") - 1 - F.col("k")) / buckets).cast("int") + 1
+    spread = many.select("row", "lot", F.pmod(F.pmod("lot", F.lit(buckets)) + F.col("k"), F.lit(buckets)).alias("bucket"), copies.alias("copies"))
+    return one.join(twice, "lot", "left_anti").unionByName(spread), True
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder for each shard, its records in the order of their slots over the files."""
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder for each shard and in it one for each bucket, whose one file holds its records in the order of their slots.
+
+    A bucket lies in one task already, in this order: nothing is shuffled again."""
+    placed.write.partitionBy("shard", "bucket").parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm import bpe, external_shuffle, imatch, importance, packing, quality_divergence, simhash, surrogates, toxicity, unit_dedup
-from logspark.llm.common import documents, importable
+from logspark.llm.common import documents, importable, shared_folder
 from logspark.llm.oracle import OP1
 
 
@@ -54,9 +53,8 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="external-shuffle-")
-    path = f"{folder}/external-shuffle-{uuid.uuid4().hex}"
-    external_shuffle.write_shards(external_shuffle.shuffled(documents(spark, sf_dir).withColumn("__size", size), "doc_id", "__size").drop("__size"), path)
+    path = f"{shared_folder(spark)}/external-shuffle-{uuid.uuid4().hex}"
+    external_shuffle.write_shards(external_shuffle.shuffled(documents(spark, sf_dir), "doc_id", size), path)
     found = spark.read.parquet(path)
     return found.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -148,18 +149,50 @@ def test_packing_round_trip(spark, odd):
     assert packing.packed(packing.token_pieces(odd.limit(0), path)).count() == 0
 
 
-def test_external_shuffle(spark, odd):
-    records = odd.withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1)
-    for buckets in (1 << 20, 4000):
-        rows = external_shuffle.shuffled(records, "doc_id", "size", bucket_bytes=buckets).collect()
-        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd.collect())
-        slots = {}
-        for r in rows:
-            slots.setdefault(r.shard, []).append(r.slot)
-            assert r.grown_shard in (r.shard, 16)
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    again = external_shuffle.shuffled(records, "doc_id", "size", bucket_bytes=4000).collect()
-    assert sorted(map(str, again)) == sorted(map(str, rows))
+def brute_shuffle(rows, columns, shards=16, seed=7, bucket_bytes=8 << 20):
+    """Slots of (doc_id, text, ...) rows, worked out bucket by bucket from the hashes alone."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def spark_hash(*parts):
+        h = 42
+        for p in parts:
+            if p is not None:
+                h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, h)
+        return h
+
+    in_int, in_long = (lambda x: struct.pack("<i", x)), lambda x: None if x is None else struct.pack("<q", x)
+    shard = lambda key, n: max((signed(spark_hash(in_long(key), in_int(seed), in_int(s))), s) for s in range(n))[1]
+    packed = [[p if isinstance(p, (str, type(None))) else in_long(p) if c in ("doc_id", "n_chars", "size") else in_int(p) for c, p in zip(columns, r)] for r in rows]
+    total, seen, held, out = sum(r[columns.index("size")] for r in rows), {}, {}, []
+    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    for r, p in zip(rows, packed):
+        lot = signed(spark_hash(in_int(seed), *p))
+        k = seen[r] = seen.get(r, -1) + 1
+        bucket, copy = (lot % buckets + k % buckets) % buckets, k // buckets + 1
+        rank, tie = (signed(spark_hash(in_long(lot), in_int(s), in_int(copy))) for s in (seed + 1, seed + 2))
+        held.setdefault((shard(r[0], shards), bucket), []).append((rank, tie, r))
+    for s in range(shards):
+        every = [x for k in sorted(held) if k[0] == s for x in sorted(held[k], key=lambda x: x[:2])]
+        out += [(*r, s, slot, shard(r[0], shards + 1)) for slot, (_, _, r) in enumerate(every)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 20, 4000])
+def test_external_shuffle(spark, odd, bucket_bytes):
+    """Every slot is the one worked out by hand, under plans of different kinds."""
+    records = odd.withColumn("size", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")).withColumnsRenamed({"flags": "lot", "h": "row", "lang": "at", "source": "copy"}).withColumn("slot", F.lit(9))
+    columns = [c for c in records.columns if c != "slot"]
+    want = brute_shuffle([tuple(r) for r in records.select(columns).collect()], columns, bucket_bytes=bucket_bytes)
+    place = lambda d: sorted((tuple(r) for r in external_shuffle.shuffled(d, "doc_id", "size", bucket_bytes=bucket_bytes).drop("bucket").collect()), key=str)
+    assert place(records) == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "7")):
+            spark.conf.set(k, v)
+        assert place(records.repartition(5)) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert external_shuffle.shuffled(records.limit(0), "doc_id", "size").count() == 0
 
 
@@ -249,4 +282,7 @@ def test_external_shuffle_carries_documents(spark, monkeypatch, tmp_path):
     assert set(docs.columns) <= set(taken[0])
     stored = spark.read.parquet(written[0])
     assert stored.select(docs.columns).exceptAll(docs).count() == 0 and stored.count() == docs.count()
+    for name in stored.inputFiles():  # a bucket is one file, in the order of its slots
+        slots = [r.slot for r in spark.read.parquet(name).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
     assert found == sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
