@@ -193,22 +193,56 @@ def test_surrogates(spark):
     card, same = two.entities[1].surrogate, two.entities[2].surrogate
     digits = [int(x) for x in same]
     assert card.replace(" ", "") == same and sum(sum(divmod(x * 2, 10)) if i % 2 == 0 else x for i, x in enumerate(digits)) % 10 == 0
-    assert re.fullmatch("[А-Яа-я]+", five.entities[1].surrogate.split()[1]) and "1.2.3.4.5 and 12345" in five.text and re.fullmatch("[0-9A-F]{40}", five.entities[0].surrogate)
+    assert re.fullmatch("[А-Яа-я]+", five.entities[1].surrogate.split()[1]) and surrogates.with_surrogates(d.withColumns({"__id": F.lit(1), "__every": F.lit(2)}), "k").columns == ["doc_id", "__id", "__every", "text", "entities"] and "1.2.3.4.5 and 12345" in five.text and re.fullmatch("[0-9A-F]{40}", five.entities[0].surrogate)
     assert got[3].text is None and got[4].text == "" and got[6].text == "no data" and surrogates.with_surrogates(d.limit(0), "k").count() == 0
     assert surrogates.with_surrogates(d, "k").count() == len(rows)
     other = {r.doc_id: r for r in surrogates.with_surrogates(d, "other").collect()}
     assert other[1].entities[2].surrogate != one.entities[2].surrogate
 
 
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    """With few surrogates to draw from, those that collide take later ones."""
-    monkeypatch.setattr(surrogates, "ALPHABETS", (("[0-9]", "012"), *surrogates.ALPHABETS[1:]))
-    rows = [(i, f"id 900-{i // 10 % 10}{i % 10}-55{i // 100}{i % 7} end") for i in range(400)]
+@pytest.mark.parametrize("digits", ["012", "01", "0"])
+def test_surrogates_stay_distinct(spark, monkeypatch, digits):
+    """With few surrogates to draw from, or fewer than entities, those that collide take later ones."""
+    monkeypatch.setattr(surrogates, "ALPHABETS", (("[0-9]", digits), *surrogates.ALPHABETS[1:]))
+    n = 5 if digits == "0" else 400
+    rows = [(i, f"id 900-{i // 10 % 10}{i % 10}-55{i // 100}{i % 7} end") for i in range(n)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert surrogates.later_attempts(d, "k").count() > 0
+    found = surrogates.mentions(d)
+    made = surrogates.entity_surrogates(found, "k").collect()
+    real = {r.what for r in made}
+    assert any(r.attempt for r in made) and len({r.new for r in made}) == len(made) == len({t for _, t in rows}) and real.isdisjoint(r.new for r in made)
     found = surrogates.with_surrogates(d, "k").collect()
-    real = {t for _, t in rows}
-    assert len({r.text for r in found}) == len(real) and all(len(r.entities) == 1 for r in found)
+    assert len({r.text for r in found}) == len({t for _, t in rows}) and all(len(r.entities) == 1 for r in found)
+
+
+def test_surrogates_of_every_script(spark):
+    """No name, mailbox or domain is left, whatever its script."""
+    rows = [
+        (1, "Schreib an 山田太郎@例え.jp oder नमस्ते@दिल्ली.in, auch ивáнов@пример.рф, محمد@مثال.com und x@y.zz."),
+        (2, "Host 2a02:8108:1:2:3:4:5:6 or fe80::1ff:fe23:4567:890a at 12:30:45, std::vector<int> a::b"),
+        (3, "key " + "0123456789abcdef" * 8 + " end"), (4, "key " + "0F" * 50_000 + " end"),
+    ]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [e.kind for e in got[1].entities] == ["email"] * 5 and not re.search("山田|太郎|例え|नमस्ते|दिल्ली|ив|пример|محمد|مثال|y.zz", got[1].text)
+    assert len({e.surrogate for e in got[1].entities}) == 5
+    assert [e.kind for e in got[2].entities] == ["ipv6", "ipv6"] and "8108" not in got[2].text and "fe80" not in got[2].text and got[2].text.endswith("at 12:30:45, std::vector<int> a::b")
+    new = got[3].entities[0].surrogate
+    assert re.fullmatch("[0-9a-f]{128}", new) and new[:64] != new[64:] and re.fullmatch("key [0-9A-F]{100000} end", got[4].text)
+
+
+def test_surrogates_of_names_corefer(spark):
+    rows = [
+        (1, "Dr. Anna Weber met Mrs. Anna Weber. Anna Weber's talk, said WEBER, was long; Weber left. Anna, too. Webers and Annas stay."),
+        (2, "Mr. Weber wrote. Prof. Anna O'Brien read. Anna O'Brien slept."), (3, "Anna Weber is not known here; miss you Anna. Mr. 山田 came."), (4, "Mrs. Ella Stone and Mr. Ella Stone: Ella Stone"),
+    ]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one, two = got[1].text, got[2].text
+    given, surname = re.match(r"Dr\. (\w+) (\w+) met", one).groups()
+    assert given.lower() in surrogates.GIVEN["latin"]["f"] and given != "Anna" and surname != "Weber"
+    assert one == f"Dr. {given} {surname} met Mrs. {given} {surname}. {given} {surname}'s talk, said {surname.upper()}, was long; {surname} left. {given}, too. Webers and Annas stay."
+    assert two.startswith(f"Mr. {surname} wrote. Prof. {given} ") and "Brien" not in two and two.split("Prof. ")[1].split(" read")[0] == two.split("read. ")[1].split(" slept")[0]
+    assert got[3].text.startswith("Anna Weber is not known here; miss you ") and "山田" not in got[3].text
+    assert got[4].text.split()[1].lower() in surrogates.GIVEN["latin"]["n"] and [e.kind for e in got[4].entities] == ["name"] * 3
 
 
 def test_surrogates_query(spark):
