@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -202,18 +203,61 @@ def test_external_shuffle_mixes(spark):
     assert [r.doc_id for r in rows] != sorted(r.doc_id for r in rows) and found.count() == 200
 
 
-def brute_units(docs, line_words=4, run_words=24, cut=6):
-    """The rule again, document by document, with the units seen so far in a set."""
+def brute_units(docs, line_words=4, run_words=24, window=12):
+    """The rule again from its definition: (doc, text, spans) of ranked documents, with the units seen so far in a set."""
     seen, out = set(), []
     for doc, text in docs:
-        digests, places = unit_dedup.units(text, unit_dedup._Cuts(cut), line_words)
-        again = []
-        for d, p in zip(digests, places):
-            if d in seen:
-                again.append(p)
-            seen.add(d)
-        gone = unit_dedup.spans(text, again, unit_dedup._Cuts(cut), line_words, run_words)
-        out.append((doc, unit_dedup.without(text, gone), gone))
+        at, flat = 0, []  # of each segment: words, spans, repeated, line number
+        whole_lines, gone = [], set()
+        for number, line in enumerate((text or "").split("\n")):
+            words = [(m.group().lower(), m.start() + at, m.end() + at) for m in re.finditer(r"\S+", line)]
+            h = [xxhash.xxh3_64_intdigest(w) >> 32 for w, _, _ in words]
+            starts = {max(range(i, i + window), key=lambda j: (-h[j], j)) for i in range(len(words) - window + 1)} | {0}
+            ends = [*sorted(starts - {0}), len(words)]
+            parts = [words[a:b] for a, b in zip([0, *ends], ends)] if words else []
+            units = [("line", *(w for w, _, _ in words))] if len(words) >= line_words else []
+            repeated = bool(units) and units[0] in seen
+            seen.update(units)
+            if repeated:
+                whole_lines.append((number, words))
+            if words and not (len(parts) == 1 and units):
+                for part in parts:
+                    unit = ("part", *(w for w, _, _ in part))
+                    flat.append((part, unit in seen or repeated, number))
+                    seen.add(unit)
+            elif words:
+                flat.append((words, repeated, number))
+            at += len(line) + 1
+        runs, run = [], []
+        for part, repeated, _ in [*flat, ([], False, None)]:
+            if repeated:
+                run.append(part)
+            else:
+                runs += run if sum(map(len, run)) >= run_words else []
+                run = []
+        for words in [*runs, *(w for _, w in whole_lines)]:
+            gone.update(range(words[0][1], words[-1][2]))
+        # blanks: to the next word, or at the line's end back to the last one; lines without a word left go whole
+        at = 0
+        for line in (text or "").split("\n"):
+            own, end = range(at, at + len(line)), at + len(line)
+            if gone.intersection(own):
+                if not "".join(text[i] for i in own if i not in gone).strip():
+                    gone.update(range(at, min(end + 1, len(text))))
+                else:
+                    for i in own:
+                        if text[i] in " \t" and i - 1 in gone and i > at:
+                            gone.add(i)
+                    i = end - 1
+                    if i in gone:
+                        while i in gone:
+                            i -= 1
+                        while text[i] in " \t":
+                            gone.add(i)
+                            i -= 1
+            at = end + 1
+        starts, ends = (sorted(i + (k > 0) for i in gone if i + (1 if k else -1) not in gone) for k in (0, 1))
+        out.append((doc, None if text is None else "".join(c for i, c in enumerate(text) if i not in gone), list(zip(starts, ends))))
     return out
 
 
@@ -224,6 +268,20 @@ def test_unit_dedup_query(spark):
         assert got[doc] == (text, gone)
 
 
+def test_unit_dedup_of_odd_texts(spark):
+    """What is left and the spans make up the original, whatever the characters; repeated ids rank by their texts' hashes."""
+    pick, words = random.Random(8), [f"w{i}" for i in range(12)]
+    texts = ["".join(pick.choice([*words, "\x00", "é"]) + pick.choice([" ", "  ", "\t", "\n", "\n\n", " \r\n", " "]) for _ in range(pick.randint(0, 90))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0] + texts[1], "  " + texts[2], "", None, " \n "])]
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in unit_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run_words=6).collect()}
+    assert got == {d: (t, g) for d, t, g in brute_units(rows, run_words=6)} and any(g for _, g in got.values())
+    twice = spark.createDataFrame([*rows, *[(d, (t or "") + " more of it here") for d, t in rows], (None, texts[0]), (None, texts[3])], "doc_id long, text string").withColumnRenamed("doc_id", "i")
+    ranked = twice.select(F.coalesce("i", F.lit(-1)).alias("i"), F.xxhash64("text").alias("h"), "text").orderBy("i", "h").collect()
+    want = sorted(((t, g) for _, t, g in brute_units([(k, r.text) for k, r in enumerate(ranked)], run_words=6)), key=str)
+    found = unit_dedup.without_repeats(twice.withColumnsRenamed({"i": "doc_id"}).withColumns({"__own": F.lit(1), "__places": F.lit(2)}), run_words=6)
+    assert sorted(((r.text, [tuple(x) for x in r.removed]) for r in found.collect()), key=str) == want and found.columns == ["doc_id", "__own", "__places", "text", "removed"]
+
+
 def test_unit_dedup_passages(spark, odd):
     say = random.Random(4)
     passage = " ".join(f"w{say.randint(0, 10**6)}" for _ in range(60))
