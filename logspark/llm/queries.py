@@ -65,7 +65,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = documents(spark, sf_dir), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    model = toxicity.fit(toxicity.labelled(docs, labels(spark, sf_dir), part != 0))
+    model = toxicity.fit(toxicity.labelled(docs, labels(spark, sf_dir), part != 0), docs)
     return toxicity.scored(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
 
 

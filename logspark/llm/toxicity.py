@@ -1,15 +1,17 @@
 """Toxicity of texts whose words may be disguised.
 
-A disguised word is what a noisy channel has made of a plain one: look-alike characters, separators
-between letters, letters repeated. Viterbi decoding over the lattice of what each character may stand
-for, under a trigram model of letters, restores it; the words as restored are then scored. Weights of
-words and word beginnings are counted over labelled texts.
+A disguised word is what a noisy channel has made of plain ones: look-alike characters, also of other
+scripts, separators or blanks between letters, letters repeated, blanks left out. Viterbi decoding over the
+lattice of what each character may stand for, word ends included, under a trigram model of letters, restores
+them; the words as restored are then scored. Letters are counted in all documents, weights of words and word
+beginnings over labelled texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import nlargest
@@ -24,15 +26,21 @@ from logspark.llm.common import batches, checkpointed
 
 #: Letters that a character may stand for besides itself.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
-#: Characters that may part the letters of a word.
+#: Cyrillic and Greek letters by the Latin ones they look like.
+LOOKS |= dict(zip("авгекмнорстухіѕјԁԛԝ", ("a", "b", "r", "e", "k", "m", "h", "o", "p", "c", "t", "y", "x", "i", "s", "j", "d", "q", "w"))) | dict(zip("αβεικνορτυχω", ("a", "b", "e", "i", "k", "v", "o", "p", "t", "u", "x", "w")))
+#: Characters that may part the letters of a word, or words.
 PARTERS = ".-_*~'`,/\\"
-SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]{1,2}[^\s.]){2,}(?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<!\S)\S(?:[ \t._*-]{1,2}[^\s.]){2,}(?![^\s.,;:!?])")
 _ENDS = re.compile(r"^[^\w@$!|+€£(]+|[^\w@$+€£]+$")
 _BARE = re.compile(r"^[\W_]+|[\W_]+$")
-LOOK_COST, DROP_COST, REPEAT_COST = 1.5, 1.0, 0.4
-SAMPLE = 12_000  # labelled texts the model is fitted on, at most
-FEATURES = 20_000  # of them are kept, at most
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
+_AGAIN = re.compile(r"(\S)\1{3,}")
+LOOK_COST, DROP_COST, REPEAT_COST, WIDE_COST = 1.5, 1.0, 0.4, 3.0
+STRETCH = 512  # characters after which the best path so far is taken for good
+LAST_LETTER = "\u058f"  # letters up to here, of Latin, Greek, Cyrillic and Armenian, are what the channel is about
+SAMPLE = 12_000  # labelled texts the weights are fitted on, at most
 PRIOR = 4
+START = "^^"
 
 
 class Letters:
@@ -50,50 +58,85 @@ class Letters:
         return x
 
 
+def trigrams(word: str) -> Iterator[str]:
+    return (f"^^{word}$"[i : i + 3] for i in range(len(word) + 1))
+
+
+def folded(text: str) -> str:
+    """Lower case; full-width and other compatible forms as plain ones, without marks and what can't be seen."""
+    return text.lower() if text.isascii() else _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+
+
 def disguised(word: str) -> bool:
-    """Whether a lower-case word, bare of what surrounds it, is worth decoding."""
+    """Whether a folded word, bare of what surrounds it, is worth decoding."""
+    if len(word) < 3:
+        return False
     if word.isalpha():
-        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
-    return 3 <= len(word) <= 40 and sum(map(str.isalpha, word)) * 3 >= len(word) and any(c in LOOKS or c in PARTERS for c in word)
+        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:])) or (not word.isascii() and any("a" <= c <= "z" for c in word) and any(c in LOOKS for c in word))
+    return any(map(str.isalpha, word)) and any(c in LOOKS or c in PARTERS for c in word)
+
 
+def ways(c: str, before: str) -> tuple[list[tuple[str, float]], float | None, float | None]:
+    """What a character stands for: (letters and their costs, cost of nothing, cost of a word's end); None: not that.
 
-def restore(word: str, letters: Letters) -> str:
-    """The likeliest plain word behind a lower-case one: the cheapest path through its lattice.
+    c may be blanks: one of them is nothing or an end alike, more are rather an end."""
+    if c.isspace():
+        return [], (0.0 if len(c) == 1 else WIDE_COST), 0.0
+    found = [(c, 0.0)] if c.isalpha() else []
+    found += [(x, LOOK_COST) for x in LOOKS.get(c, "")]
+    parts = c in PARTERS
+    drop = REPEAT_COST if c == before else DROP_COST if parts else None if found else LOOK_COST
+    return found, drop, DROP_COST if parts else None
 
-    Each character is itself, if a letter, or a letter it looks like, or nothing where it parts or
-    repeats letters. A state is the last two letters, and the character as written if repeats may follow."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for i, c in enumerate(word):
-        into: dict[str, tuple[float, str]] = {}
-        ways = [(c, 0.0)] if c.isalpha() else []
-        ways += [(x, LOOK_COST) for x in LOOKS.get(c, "")]
-        drop = REPEAT_COST if i and c == word[i - 1] else DROP_COST if c in PARTERS else None if ways else LOOK_COST
+
+def restore(written: str, letters: Letters) -> str:
+    """The likeliest plain words behind folded characters: the cheapest path through their lattice.
+
+    A state is the last two letters of the word it is in. Characters that stand more than three times in a row
+    count as three. Paths share their beginnings; every STRETCH characters the cheapest is taken for good."""
+    best: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
+    before, done = "", []
+    for i, c in enumerate(re.findall(r"\s+|\S", _AGAIN.sub(r"\1\1\1", written))):
+        into: dict[str, tuple[float, tuple]] = {}
+        found, drop, end = ways(c, before)
         for two, (cost, out) in best.items():
-            for x, extra in ways:
+            for x, extra in found:
                 total = cost + extra + letters.cost(two, x)
-                if total < into.get(two[1] + x, (math.inf, ""))[0]:
-                    into[two[1] + x] = (total, out + x)
-            if drop is not None and cost + drop < into.get(two, (math.inf, ""))[0]:
+                if total < into.get(two[1] + x, (math.inf,))[0]:
+                    into[two[1] + x] = (total, (out, x))
+            if drop is not None and cost + drop < into.get(two, (math.inf,))[0]:
                 into[two] = (cost + drop, out)
-        best = into or best
-    ends = [(cost + letters.cost(two, "$"), out) for two, (cost, out) in best.items()]
-    return min(ends)[1]
+            if end is not None and two != START and (total := cost + end + letters.cost(two, "$")) < into.get(START, (math.inf,))[0]:
+                into[START] = (total, (out, " "))
+        best, before = into or best, c
+        if i % STRETCH == STRETCH - 1:
+            two, (cost, out) = min(best.items(), key=lambda kv: (kv[1][0], kv[0]))
+            done += _letters_of(out)
+            best = {two: (cost, ())}
+    _, two = min((cost + (letters.cost(two, "$") if two != START else 0.0), two) for two, (cost, _) in best.items())
+    return "".join([*done, *_letters_of(best[two][1])]).strip()
+
+
+def _letters_of(out: tuple) -> list[str]:
+    found = []
+    while out:
+        out, x = out
+        found.append(x)
+    return found[::-1]
 
 
-def plain_words(text: str, letters: Letters | None) -> set[str]:
-    """Distinct lower-case words of a text, as restored if letters are given."""
-    low = text.lower()
-    found = set(low.split())
-    out = {_ENDS.sub("", w) for w in found}
-    if letters:
-        runs = {m[0] for m in SPACED.finditer(low)}
-        out |= {restore(w, letters) for w in {*(re.sub(r"\s+", "", r) for r in runs), *filter(disguised, out)} if len(w) <= 40}
-    return out - {""}
+def plain_words(text: str) -> set[str]:
+    """Distinct folded words of a text, without what surrounds them."""
+    return {_ENDS.sub("", w) for w in set(folded(text).split())} - {""}
 
 
 def features(word: str) -> Iterable[str]:
-    """A word and its beginnings of four letters or more."""
-    return (word, *(f"{word[:k]}*" for k in range(4, min(len(word), 9))))
+    """A word and its beginnings of 4 to 8 letters, then of 12, 16, 24, 32, ..."""
+    yield word
+    k = 4
+    while k < len(word):
+        yield f"{word[:k]}*"
+        k += 1 if k < 8 else 1 << (k.bit_length() - 2)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAMPLE) -> DataFrame:
@@ -104,28 +147,35 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int = SAM
 
 
 class Model:
-    """Shares of toxic texts among those with a feature, the letters of words, and what a text's strongest words mean."""
+    """Shares of toxic texts among those with a feature, the letters of words, and what a text's words mean together."""
 
-    def __init__(self, base: float, shares: dict[str, float], letters: Letters, weights: tuple[float, ...]):
-        self.base, self.letters, self.weights = base, letters, weights
-        self.gains = {k: math.log(v / (1 - v)) - math.log(base / (1 - base)) for k, v in shares.items()}
+    def __init__(self, base: float, shares: dict[str, float], letters: Letters, weights: tuple[float, ...] | None = None):
+        odds = math.log(base / (1 - base))
+        self.base, self.letters, self.weights = base, letters, weights or (odds, 1.0, 0.0, 0.0, 0.0, 0.0)
+        self.gains = {k: math.log(v / (1 - v)) - odds for k, v in shares.items()}
 
     def gain(self, word: str) -> float:
-        """By how much a word, or what it is restored to, raises the log odds of a toxic text; 0 if it tells nothing."""
+        """By how much a folded word, or what it is restored to, raises the log odds of a toxic text; 0 if it tells nothing."""
         plain = _ENDS.sub("", word)
-        if not plain or len(plain) > 40:
+        if not plain:
             return 0.0
         bare = _BARE.sub("", plain)
-        forms = {bare, plain, restore(plain, self.letters), restore(bare, self.letters)} if disguised(plain) else {plain}
+        forms = {bare, plain}
+        if disguised(plain):
+            for w in [*forms]:
+                forms.update(restore(w, self.letters).split())
         return max((self.gains.get(f, 0.0) for w in forms for f in features(w)), default=0.0)
 
 
-def traits(text: str, gains: dict[str, float]) -> list[float]:
-    """1, the three largest gains of the text's distinct words, and the logarithm of their number."""
-    low = text.lower()
+def traits(text: str, gains: _Gains) -> list[float]:
+    """1, the three largest gains of the text's distinct words, the sum of all, and the logarithm of their number."""
+    low = folded(text)
     words = set(low.split())
-    words.update(re.sub(r"\s+", "", m[0]) for m in SPACED.finditer(low) if len(m[0]) <= 80)
-    return [1.0, *nlargest(3, [*map(gains.__getitem__, words), 0.0, 0.0, 0.0]), math.log1p(len(words))]
+    for m in SPACED.finditer(low):
+        if any(map(str.isalpha, m[0])):
+            words.update(restore(m[0], gains.model.letters).split())
+    every = [*map(gains.__getitem__, words), 0.0, 0.0, 0.0]
+    return [1.0, *nlargest(3, every), math.fsum(every), math.log1p(len(words))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -137,43 +187,67 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def fit(sample: DataFrame, most: int = FEATURES) -> Model:
-    """Shares are counted over seven tenths of the distinct texts, summed by Spark; what a text's strongest
-    words mean is then weighed on the other three tenths. Letters are counted in all words, more in
-    toxic ones. Without labelled texts of both kinds the weights stay at their start."""
+def letter_counts(docs: DataFrame) -> dict[str, int]:
+    """How often each trigram of letters comes up in the words of all texts(text), summed by Spark.
+
+    Words of letters up to LAST_LETTER count; what reaches the driver are the distinct trigrams, all of them."""
+
+    def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+
+        def summed() -> pa.RecordBatch:
+            tri: dict[str, int] = {}
+            for w, n in words.items():
+                if w.isalpha() and max(w) <= LAST_LETTER:
+                    for k in trigrams(w):
+                        tri[k] = tri.get(k, 0) + n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tri.keys(), pa.string()), pa.array(tri.values(), pa.int64())], ["k", "n"])
+
+        for frame in batches(frames):
+            for text in frame.column(0).to_pylist():
+                words.update(text.lower().split())
+            if len(words) > 300_000:
+                yield summed()
+        yield summed()
+
+    found = docs.select("text").where("text is not null").mapInArrow(counted, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return {r.k: r.n for r in found.collect()}
+
+
+def fit(sample: DataFrame, docs: DataFrame) -> Model:
+    """Letters are counted in all docs, more in words that tell. Shares are counted over seven tenths of the
+    distinct texts of the sample, summed by Spark; what a text's words mean together is then weighed on the other three
+    tenths. A text with conflicting labels is toxic. Without labelled texts of both kinds the weights stay at their start."""
 
     def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             texts, toxic = Counter(), Counter()
             for text, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
-                found = plain_words(text, None)
-                every = [("w", f) for f in {f for w in found for f in features(w)}]
+                every = {f for w in plain_words(text) for f in features(w)}
                 texts.update(every)
                 if t:
                     toxic.update(every)
-                texts.update(("t", f"^^{w}$"[i : i + 3]) for w in found if w.isalpha() for i in range(len(w) + 1))
-            kind, feature = zip(*texts) if texts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(feature, pa.string()), pa.array(texts.values(), pa.int64()), pa.array([toxic[x] for x in texts], pa.int64())], ["kind", "feature", "n", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts.keys(), pa.string()), pa.array(texts.values(), pa.int64()), pa.array([toxic[x] for x in texts], pa.int64())], ["feature", "n", "t"])
 
-    sample = checkpointed(sample.dropDuplicates(["text"]))
+    sample = checkpointed(sample.groupBy("text").agg(F.max("toxic").alias("toxic")))
     part = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(10))
     counting, weighing = sample.where(part < 7), sample.where(part >= 7)
     totals = counting.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     base = ((totals.t or 0) + 0.5) / (totals.n + 1)
-    sums = checkpointed(counting.mapInArrow(counted, "kind string, feature string, n long, t long").groupBy("kind", "feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    sums = counting.mapInArrow(counted, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     # As if seen in PRIOR more texts of the base share; what isn't twice as toxic as the base tells nothing.
     share = (F.col("t") + PRIOR * base) / (F.col("n") + PRIOR)
-    words = sums.where("kind = 'w' and t >= 2").withColumn("share", share).where(F.col("share") > min(0.5, 2 * base)).orderBy(F.desc("share"), F.desc("t"), "feature").limit(most)
-    shares = {r.feature: r.share for r in words.collect()}
-    tri = sums.where("kind = 't'").orderBy(F.desc("n"), "feature").limit(most)
-    counts = {r.feature: r.n for r in tri.collect()}
+    words = sums.where("t >= 2").select("feature", share.alias("share")).where(F.col("share") > min(0.5, 2 * base))
+    shares = {r.feature: r.share for r in words.collect()}  # words of a bounded sample
+    counts = letter_counts(docs)
+    bonus = 1 + sum(n for k, n in counts.items() if k.startswith(START)) // 6000
     for word, p in shares.items():  # words that tell are as good as frequent ones
         if not word.endswith("*") and word.isalpha() and p > 0.5:
-            for i in range(len(word) + 1):
-                k = f"^^{word}$"[i : i + 3]
-                counts[k] = counts.get(k, 0) + 200
-    model = Model(base, shares, Letters(counts), (math.log(base / (1 - base)), 1.0, 0.0, 0.0, 0.0))
-    held = weighing.mapInArrow(_traits_of(model), "toxic int, traits array<double>").collect()  # five numbers of each text of a bounded sample
+            for k in trigrams(word):
+                counts[k] = counts.get(k, 0) + bonus
+    model = Model(base, shares, Letters(counts))
+    held = weighing.mapInArrow(_traits_of(model), "toxic int, traits array<double>").collect()  # six numbers of each text of a bounded sample
     y = np.array([r.toxic for r in held], float)
     if y.size and 0 < y.sum() < y.size:
         model.weights = tuple(logistic(np.array([r.traits for r in held]), y).tolist())
@@ -197,9 +271,11 @@ class _Gains(dict):
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = x = self.model.gain(word)
+        x = self.model.gain(word)
+        if len(word) <= 100:  # others come once
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = x
         return x
 
 

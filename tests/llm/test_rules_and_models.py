@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 from collections import Counter
@@ -258,11 +259,42 @@ def test_restoring():
     shares = {w: 0.9 for w in ("idiot", "moron", "worthless", "scum")}
     counts = Counter(f"^^{w}$"[i : i + 3] for w in [*shares, "there", "then", "word"] * 50 for i in range(len(w) + 1))
     letters = toxicity.Letters(counts)
-    model = toxicity.Model(0.1, shares, letters, (-2.0, 1.0, 0.5, 0.5, -0.2))
-    for w in ("1d10t", "i.d.i.o.t", "iidddiiiot", "m0r0n", "sc*m", "idiot!!", "(moron)"):
+    model = toxicity.Model(0.1, shares, letters, (-2.0, 1.0, 0.5, 0.5, 0.0, -0.2))
+    for w in ("1d10t", "i.d.i.o.t", "iidddiiiot", "m0r0n", "sc*m", "idiot!!", "(moron)", "i" * 45 + "diot", "idi\u043et", "there.then-1d1ot", "w" * 30_000 + "orthless"):
         assert model.gain(w) > 0, w
     gains = toxicity._Gains(model)
     assert model.gain("then") == model.gain("10") == model.gain("") == 0 and toxicity.score("you i d i o t.", gains) > 0.5 > toxicity.score("", gains)
+    for text in ("ｉｄｉｏｔ", "i\u200bdi\u200bot", "w o r d  t h e n  i d i o t  t h e r e " * 40, "t h e r e w o r d t h e n m o r o n s c u m"):
+        assert toxicity.score(text, gains) > 0.5, text
+
+
+def every_path(tokens, letters, two="^^", before=""):
+    """(cost, words) of all paths through the lattice."""
+    if not tokens:
+        yield letters.cost(two, "$") if two != "^^" else 0.0, ""
+        return
+    c, rest = tokens[0], tokens[1:]
+    found, drop, end = toxicity.ways(c, before)
+    steps = [(extra + letters.cost(two, x), two[1] + x, x) for x, extra in found]
+    if drop is not None:
+        steps.append((drop, two, ""))
+    if end is not None and two != "^^":
+        steps.append((end + letters.cost(two, "$"), "^^", " "))
+    for cost, state, x in steps:
+        for more, out in every_path(rest, letters, state, c):
+            yield cost + more, x + out
+
+
+def test_viterbi_takes_the_cheapest_path():
+    pick, counts = random.Random(9), Counter(k for w in "idiot then there word lies a i so".split() * 20 for k in toxicity.trigrams(w))
+    letters = toxicity.Letters(counts)
+    for _ in range(150):
+        word = "".join(pick.choice("idotaehrw1!0@*.-") for _ in range(pick.randint(1, 7)))
+        word = " ".join(word) if pick.random() < 0.4 else word
+        tokens = re.findall(r"\s+|\S", word)
+        least = min(every_path(tokens, letters))[0]
+        got = toxicity.restore(word, letters)
+        assert min(cost for cost, out in every_path(tokens, letters) if out.strip() == got) <= least + 1e-9, word
 
 
 def test_toxicity_query(spark):
@@ -273,11 +305,11 @@ def test_toxicity_query(spark):
     known = [r for r in rows if r.toxic is not None]
     assert np.mean([r.predicted for r in known if r.toxic == 0]) < 0.05 and np.mean([r.predicted for r in known if r.toxic]) > 0.5
     pos, neg = ([r.score for r in known if r.held_out and r.toxic == k] for k in (1, 0))
-    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.75
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.85 and np.mean([x >= 0.5 for x in neg]) < 0.02
 
 
 def test_toxicity_odd(odd, spark):
-    empty = toxicity.fit(toxicity.labelled(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))
+    empty = toxicity.fit(toxicity.labelled(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)), odd)
     got = toxicity.scored(odd, empty)
     assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0 and toxicity.scored(odd.limit(0), empty).count() == 0
 
