@@ -23,7 +23,7 @@ COMMON_WORDS = {
 }
 #: Character classes: name and the Java class that matches it, tried in this order.
 CLASSES = (("lower", "[a-z]"), ("blank", r"[\x20\x09-\x0D]"), ("upper", "[A-Z]"), ("letter", r"\p{L}"), ("digit", r"\p{N}"), ("stop", "[.,;:?'\"()-]"))
-SYMBOLS = "[^#*$%&|<>]+"
+SYMBOLS, BLANK = "[^#*$%&|<>]+", 1
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
@@ -34,7 +34,7 @@ def language(lang: Column) -> Column:
 
 
 def _class_counts(docs: DataFrame, out: str) -> DataFrame:
-    """Adds array<long> out: characters of each class, at the end those of none."""
+    """Adds array<long> out: characters of each class, at the end those of none; and __odd, these themselves."""
     text, counts = "__left", []
     docs = docs.withColumn(text, F.coalesce("text", F.lit("")))
     for name, kind in CLASSES:
@@ -44,7 +44,7 @@ def _class_counts(docs: DataFrame, out: str) -> DataFrame:
         text = less
     counts.append(F.length(text))
     left = ["__left", *(f"__{x}" for x, _ in CLASSES)]
-    return docs.withColumn(out, F.array(*counts).cast("array<long>")).drop(*left)
+    return docs.withColumns({out: F.array(*counts).cast("array<long>"), "__odd": F.col(text)}).drop(*left)
 
 
 def _common_counts(docs: DataFrame, out: str) -> DataFrame:
@@ -53,7 +53,7 @@ def _common_counts(docs: DataFrame, out: str) -> DataFrame:
     Needs __words and __lang; null for languages without a list."""
     every = sorted({x for v in COMMON_WORDS.values() for x in v})
     common = F.create_map(*[y for k, v in COMMON_WORDS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
-    docs = docs.withColumn("__common", F.filter(F.transform("__words", F.lower), lambda w: w.isin(*every))).withColumn("__list", common[F.col("__lang")])
+    docs = docs.withColumn("__common", F.filter(words(F.lower("text")), lambda w: w.isin(*every))).withColumn("__list", common[F.col("__lang")])
     counts = F.transform("__list", lambda w: (F.size("__common") - F.size(F.array_remove(F.col("__common"), w))).cast("long"))
     docs = docs.withColumn("__counts", counts)
     total = F.aggregate("__counts", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -61,7 +61,7 @@ def _common_counts(docs: DataFrame, out: str) -> DataFrame:
 
 
 def with_histograms(docs: DataFrame) -> DataFrame:
-    """docs with __words, __lang, __classes and __commons, counted over whole texts."""
+    """docs(text, lang, ...) with __words, __lang, __classes, __odd and __commons, counted over whole texts."""
     docs = docs.withColumn("__words", words(F.col("text"))).withColumn("__lang", language(F.col("lang")))
     return _common_counts(_class_counts(docs, "__classes"), "__commons")
 
@@ -78,7 +78,7 @@ def language_references(docs: DataFrame, min_words: int = MIN_WORDS, max_odd: fl
     odd, letters = F.col("__classes")[len(CLASSES)], c["lower"] + c["upper"] + c["letter"]
     # Counted in the sums, as a filter would be pushed below the counting and repeat it.
     usual = (F.size("__words") >= min_words) & (c["upper"] <= c["lower"] + c["letter"]) & (odd <= max_odd * (letters + odd))
-    full = with_histograms(docs).select("__lang", "__classes", "__commons", usual.alias("__usual"))
+    full = with_histograms(docs.select("text", "lang")).select("__lang", "__classes", "__commons", usual.alias("__usual"))
     m = max(map(len, COMMON_WORDS.values())) + 1
     summed = full.groupBy("__lang").agg(
         F.array(*[F.sum(F.when(F.col("__usual"), F.col("__classes")[i])) for i in range(len(CLASSES) + 1)]).alias("__ref_classes"),
@@ -91,7 +91,7 @@ def language_references(docs: DataFrame, min_words: int = MIN_WORDS, max_odd: fl
 
 
 def distance(counts: Column, total: Column, shares: Column) -> Column:
-    """Jensen-Shannon distance of the counts, which add up to total, from the reference's shares; null if total is 0."""
+    """Jensen-Shannon distance of the counts, which add up to total, from the reference's shares; null if total is 0 or either is missing."""
 
     def term(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
@@ -100,11 +100,12 @@ def distance(counts: Column, total: Column, shares: Column) -> Column:
         return term(c / total, (c / total + q) / 2) + term(q, (c / total + q) / 2)
 
     summed = F.aggregate(F.zip_with(counts, shares, part), F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.sqrt(F.greatest(summed, F.lit(0.0)) / 2))
+    # greatest() skips nulls: a missing histogram must not come out as 0.
+    return F.when((total > 0) & summed.isNotNull(), F.sqrt(F.greatest(summed, F.lit(0.0)) / 2))
 
 
-def with_base_rules(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed. Needs __words.
+def with_base_rules(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed. Needs what with_histograms adds.
 
     n_repeat_words: words that lie in a window of three words which the text holds twice or more."""
     docs = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("n_words", F.size("__words").cast("long"))
@@ -122,38 +123,42 @@ def with_base_rules(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("n_repeat_words", F.when(F.col("__again"), covered).otherwise(0).cast("long"))
     return docs.withColumns(
         {
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("__text", SYMBOLS, "")).cast("long"),
+            "word_chars": F.length("__text").cast("long") - F.col("__classes")[BLANK],  # all but the blanks is in words
+            "n_symbols": F.length(F.regexp_replace("__odd", SYMBOLS, "")).cast("long"),  # symbols are of no class
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED),
+            "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED),
         }
     ).drop("__text", "__lines", "__two", "__window", "__placed", "__again", "__at")
 
 
-def judged(docs: DataFrame, references: DataFrame | None = None, max_classes: float = 0.16, max_commons: float = 0.24, min_chars: int = 200, min_common: int = 50) -> DataFrame:
+def judged(docs: DataFrame, references: DataFrame | None = None, max_classes: float = 0.16, max_commons: float = 0.24, min_chars: int = 200, min_common: int = 50, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of docs(text, lang, ...) with base counts, class_distance, word_distance and kept.
 
     kept is false if base_failed, if both distances lie beyond their maxima, or if class_distance
     lies beyond twice its own. class_distance counts from min_chars characters in words on,
     word_distance from min_common words on; a distance that doesn't count decides nothing, but where
-    there is no word_distance class_distance decides alone. A null text has no words and fails the base rule; a null or unknown language
-    is held against the pool of such documents, without word_distance. Repeated rows are each
-    judged. Own columns named like the added ones are replaced. references: see
-    language_references; None: pooled over docs itself."""
+    there is no word_distance class_distance decides alone. A null text has no words and fails the base rule; a
+    null or unknown language is held against the pool of such documents, without word_distance; a language none
+    of whose documents is fit for a reference has neither distance. Repeated rows are each judged. Own columns
+    named like the added ones are replaced, any other name is kept. references: see language_references, best
+    a kept set that was drawn from documents known as good; None: pooled over docs itself."""
     references = language_references(docs) if references is None else references
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")]
-    counted = ("__lang", "__classes", "__commons", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    found = with_base_rules(with_histograms(docs.select(own)))
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    own = [c for c in docs.columns if c not in added]
+    others = [c for c in own if c not in ("text", "lang")]
+    packed = docs.select("text", "lang", F.struct(*others, F.lit(0).alias("__none")).alias("__row"))  # out of the way of helper names
+    counted = ("__lang", "__classes", "__commons", *added[:6])
+    found = with_base_rules(with_histograms(packed), min_words)
     # One row in, one row out: filters on the result stop here, else they'd be pushed below the counting and repeat it.
-    found = found.select(*own, F.inline(F.array(F.struct(*counted)))).join(F.broadcast(references), "__lang", "left")
+    found = found.select("text", "lang", "__row", F.inline(F.array(F.struct(*counted)))).join(F.broadcast(references), "__lang", "left")
     found = found.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, distance(F.col("__classes"), F.length("text"), F.col("__ref_classes"))))
     found = found.withColumn("word_distance", F.when(F.col("n_words") >= min_common, distance(F.col("__commons"), F.col("n_words"), F.col("__ref_commons"))))
     classes, commons = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(1.0))
     far = ((classes > max_classes) & (commons > max_commons)) | (classes > 2 * max_classes)
     found = found.withColumn("kept", ~F.col("base_failed") & ~far)
-    return found.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return found.select(*[F.col(c) if c in ("text", "lang") else F.col("__row")[c].alias(c) for c in own], *added)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return judged(docs).where("kept").select(docs.columns)
+def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs; limits: see judged."""
+    return judged(docs, **limits).where("kept").select(docs.columns)

@@ -78,15 +78,34 @@ def test_op1_query(spark):
     assert verdict[1, True] >= 0.95 * (verdict[1, True] + verdict[1, False]) and verdict[0, False] >= 0.9 * (verdict[0, True] + verdict[0, False])
 
 
-def test_op1_sql(spark):
+def op1_by_sql(path):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{SF_DIR}/documents.parquet'")
-    want, got = c.sql(queries.oracle_sql()["op1_distribution_divergence"]), queries.op1_distribution_divergence(spark, SF_DIR)
+    c.sql(f"create view documents as select * from '{path}'")
+    return c.sql(queries.oracle_sql()["op1_distribution_divergence"])
+
+
+def test_op1_sql(spark):
+    want, got = op1_by_sql(f"{SF_DIR}/documents.parquet"), queries.op1_distribution_divergence(spark, SF_DIR)
     assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_op1_sql_of_other_languages(spark, tmp_path):
+    """Languages without a word list, without a reference, or null; empty and null texts; clashing names."""
+    n = F.col("doc_id") % 7
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("text", F.when(F.col("doc_id") % 31 == 3, None).when(F.col("doc_id") % 31 == 4, "").otherwise(F.when(n == 5, F.substring("text", 1, 250)).otherwise(F.col("text"))))
+    docs = docs.withColumn("lang", F.when(n < 2, "it").when(n == 2, None).when(n == 5, "DE").otherwise("en")).withColumns({"__left": F.lit("x"), "__words": F.lit(1), "__row": F.lit(2), "kept": F.lit("own")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want, got = op1_by_sql(f"{tmp_path}/documents.parquet/*.parquet"), queries.op1_distribution_divergence(spark, str(tmp_path))
+    rows = got.collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.fetchall()))
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(r.word_distance is None for r in rows if langs[r.doc_id] in ("it", None)) and any(not r.kept and not r.base_failed for r in rows if langs[r.doc_id] == "it")
+    found = quality_divergence.judged(docs)
+    assert {"__left", "__words", "__row", "source"} <= set(found.columns) and found.where("__left <> 'x' or __words <> 1").count() == 0
+
+
 def edited(rows):
     for i, (d, t) in enumerate(rows):
         t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
