@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logspark.llm.common import batches, checkpointed, utf8
 
 BUCKETS = 10_000
-TARGET = 6_000  # labelled texts that stand for the target, at most
+NO_ID = -(1 << 63)  # stands for a null doc_id: it is the least
 
 
 class _Hashes(dict):
@@ -77,23 +77,33 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> Da
 
 
 def least_of_top(values: DataFrame, k: int, fits: int = 50_000) -> tuple[float, int] | None:
-    """The k-th largest (key, doc_id) of values, or None for all. Quantiles narrow down where it lies
-    until so few rows are left that one task may sort them; the answer is exact."""
-    total = values.count()
-    if k >= total:
+    """The k-th largest (key, doc_id) of values, or None for all. Quantiles narrow down where it lies, first
+    by key, among equal keys by doc_id, until so few rows are left that one task may sort them; the answer is exact."""
+    size = values.count()
+    if k >= size:
         return None
-    part, above, size = values, 0, total
-    while size > fits:
-        share = 1 - (k - above) / size
-        low, high = part.agg(F.percentile_approx("key", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0]
-        over = part.where(F.col("key") > high).count()
-        inner = part.where((F.col("key") >= low) & (F.col("key") <= high))
-        found = inner.count()
-        if not over < k - above <= over + found or found == size:
-            break
-        part, above, size = inner, above + over, found
-    last = part.orderBy(F.desc("key"), F.desc("doc_id")).limit(k - above).agg(F.min(F.struct("key", "doc_id"))).first()[0]
-    return last.key, last.doc_id
+    part, left = values.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), k
+    for name in ("key", "doc_id"):
+        while size > fits:
+            share = 1 - left / size
+            low, high = part.agg(F.percentile_approx(name, [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0]
+            over = part.where(F.col(name) > high).count()
+            inner = part.where(F.col(name).between(low, high))
+            found = inner.count()
+            if left <= over:
+                part, size = part.where(F.col(name) > high), over
+            elif left <= over + found:
+                part, left, same = inner, left - over, size == found
+                size = found
+                if same or low == high:
+                    break
+            else:
+                part, left, size = part.where(F.col(name) < low), left - over - found, size - over - found
+    if size > fits:  # equal in both, however many
+        last = part.first()
+    else:
+        last = part.orderBy(F.desc("key"), F.desc("doc_id")).limit(left).agg(F.min(F.struct("key", "doc_id")).alias("x")).first().x
+    return last.key, None if last.doc_id == NO_ID else last.doc_id
 
 
 def resampled(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: int = BUCKETS) -> DataFrame:
@@ -112,7 +122,7 @@ def _from(last: tuple[float, int]) -> Column:
     return (key > last[0]) | ((key == last[0]) & tied)
 
 
-def good_texts(docs: DataFrame, labels: DataFrame, most: int = TARGET) -> DataFrame:
-    """(text) of at most `most` documents labelled as of good quality, chosen by a hash of their ids."""
-    some = labels.where("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    return docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
+def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text) of all documents labelled as of good quality."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select("text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import batches, checkpointed, utf8
+from logspark.llm.common import batches, checkpointed, last_at_most, utf8
 
 CAPACITY, END_ID = 4096, 1
 
@@ -36,11 +36,15 @@ class _Seen(dict):
     used of that moves back. Words in neither are noted and stand for no ids meanwhile."""
 
     def __init__(self, old: dict[bytes, bytes]) -> None:
-        self.old, self.new, self.missed = old, {}, 0
+        self.old, self.new, self.missed, self.size = old, {}, 0, 0
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids) + 170  # what Python adds to two such objects in a dictionary
 
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.old.get(word)) is not None:
-            self[word] = ids
+            self.keep(word, ids)
             return ids
         self.new[word] = None
         self.missed += 1
@@ -52,11 +56,11 @@ class WordIds:
 
     Each word is looked up among those seen; new ones of some texts go to the tokenizer together."""
 
-    def __init__(self, path: str, most: int = 600_000):
-        self.path, self.most, self.seen = path, most, _Seen({})
+    def __init__(self, path: str, most: int = 96 << 20):
+        self.path, self.most, self.seen = path, most, _Seen({})  # most: bytes of either generation
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.seen) > self.most:
+        if self.seen.size > self.most:
             self.seen = _Seen(dict(self.seen))
         out, again, seen = [], [], self.seen
         for i, text in enumerate(texts):
@@ -79,7 +83,8 @@ class WordIds:
         ids = np.array(made.ids, "<u4")
         ends = np.cumsum([len(w) + 1 for w in found])
         upto = np.searchsorted([b for _, b in made.offsets], ends).tolist()  # tokens that end before the line does
-        self.seen.update((w, ids[a:b].tobytes()) for w, a, b in zip(new, [0, *upto], upto))
+        for w, a, b in zip(new, [0, *upto], upto):
+            self.seen.keep(w, ids[a:b].tobytes())
 
 
 @lru_cache(maxsize=2)
@@ -155,6 +160,20 @@ class _Plan:
         a = np.arange(total - 1, (total - 1) // 2, -1)
         return any(self.take([*seed, x, total - x]) for x in a[(self.left[a] > 0) & (self.left[total - a] > 0)].tolist())
 
+    def triple(self, gap: int, length: int) -> bool:
+        """Take length with three others that fill the gap. All third lengths are tried: lengths only run out, so
+        an old index lists every pair there is; it's renewed where the first ones that it lists fail."""
+        if self.stale >= 32:
+            self.index_pairs()
+        a = np.arange(gap - 2, (gap - 1) // 3, -1)
+        a = a[a > 0]
+        for some in ((64, None) if self.stale else (None,)):
+            if any(self.pair(gap - x, [length, x]) for x in a[(self.left[a] > 0) & self.pairs[gap - a]].tolist()[:some]):
+                return True
+            if some:
+                self.index_pairs()
+        return False
+
     def exact(self) -> None:
         """Fill the gap beside each length, the longest first, by one, two or three others exactly."""
         for length in range(self.capacity, 0, -1):
@@ -165,11 +184,7 @@ class _Plan:
                 elif self.take([length, gap]) or self.pair(gap, [length]):
                     done = True
                 else:
-                    if self.stale >= 32:
-                        self.index_pairs()
-                    a = np.arange(gap - 2, (gap - 1) // 3, -1)
-                    a = a[a > 0]
-                    done = any(self.pair(gap - x, [length, x]) for x in a[(self.left[a] > 0) & self.pairs[gap - a]].tolist()[:256])
+                    done = self.triple(gap, length)
                 if not done:
                     break
 
@@ -238,5 +253,6 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     starts = sizes.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order))
     ranked = salted.withColumn("__rank", within).join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__rank") - 1)
-    found = ranked.join(F.broadcast(table), "length").withColumn("__run", F.element_at(F.filter("__runs", lambda r: r["first"] <= F.col("__rank")), -1))
+    at = last_at_most(max(map(len, runs.values()), default=1), lambda i: F.get("__runs", i)["first"] <= F.col("__rank"))
+    found = ranked.join(F.broadcast(table), "length").withColumn("__run", F.element_at("__runs", at))
     return found.select(*own, (F.col("__run.sequence") + F.col("__rank") - F.col("__run.first")).alias("sequence_id"), F.col("__run.offset").alias("offset"))

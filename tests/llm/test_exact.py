@@ -111,7 +111,7 @@ def test_bpe(spark, odd):
         assert (bytes(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) == (want, len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
 
 
-@pytest.mark.parametrize("counts", [{}, {4096: 3}, {1: 5}, {3000: 4, 1096: 2, 500: 3, 596: 3, 200: 9}, {7: 1000, 4089: 3}])
+@pytest.mark.parametrize("counts", [{}, {4096: 3}, {1: 5}, {k: 1 + k % 5 for k in range(30, 2000, 3)}, {3000: 4, 1096: 2, 500: 3, 596: 3, 200: 9}, {7: 1000, 4089: 3}])
 def test_plan_places_every_piece_once(counts):
     placed = {}
     for length, first, sequence, offset in packing.plan(counts):
@@ -128,6 +128,24 @@ def test_plan_places_every_piece_once(counts):
     assert len(spans) <= -(-sum(k * n for k, n in counts.items()) // 4096) + 1
 
 
+def test_plan_finds_the_only_triple():
+    """A length and three others that fill a sequence are found, however many other pairs come before."""
+    for decoys in (0, 400):
+        counts = {2000: 1, 1: 1, 1500: 1, 595: 1, **{1000 + 2 * k: 1 for k in range(decoys // 2)}, **{500 + k: 0 for k in range(3)}}
+        made = packing._Plan({k: n for k, n in counts.items() if n}, 4096)
+        made.index_pairs()
+        assert made.triple(2096, 2000) and sum(made.left) == len([n for n in counts.values() if n]) - 4
+
+
+def test_words_kept_are_bounded_by_bytes():
+    ids = packing.WordIds(P.path("word_bpe_49k.json"), most=100_000)
+    once = packing.WordIds(P.path("word_bpe_49k.json"))
+    pick = random.Random(3)
+    for _ in range(20):
+        texts = [" ".join("".join(pick.choice("abcdeé") for _ in range(pick.choice([3, 5, 900]))) for _ in range(30)).encode() for _ in range(8)]
+        assert ids(texts) == once(texts) and ids.seen.size < 100_000 + 2_000_000 and sum(map(len, ids.seen.old)) < 2_000_000
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 

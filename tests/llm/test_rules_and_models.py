@@ -346,9 +346,10 @@ def test_importance(odd, spark):
     assert abs(got.where("doc_id = 4").first().log_ratio - ratio[importance.gram_buckets(d.first().text.encode(), hashes).astype(int)].sum()) < 1e-9
 
 
-@pytest.mark.parametrize("fits", [5, 1000])
-def test_gumbel_top_k_is_exact(spark, fits):
-    d = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 7.0).alias("key"))
+@pytest.mark.parametrize("fits,keys,ids", [(5, 500, 3000), (1000, 500, 3000), (5, 1, 3000), (5, 2, 3), (5, 1, 1)])
+def test_gumbel_top_k_is_exact(spark, fits, keys, ids):
+    """Also where all keys, or all rows, are tied."""
+    d = spark.range(3000).select(F.pmod("id", F.lit(ids)).alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(keys)) / 7.0).alias("key"))
     want = sorted(((r.key, r.doc_id) for r in d.collect()), reverse=True)
     for k in (1, 100, 2400, 2999):
         assert tuple(importance.least_of_top(d, k, fits)) == want[k - 1]
