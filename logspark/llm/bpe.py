@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import batches
+from logspark.llm.common import Seen, batches
 
 #: White space as Unicode has it, which is narrower than Python's.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -140,30 +140,14 @@ def merge_many(pieces: list[bytes], size: int, r: Ranks) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-class _Seen(dict):
-    """Ids by stretch, in two generations: when the young one is full it becomes the old one, and whatever is
-    used of that moves back. A stretch in neither is noted and stands for no ids meanwhile."""
-
-    def __init__(self, old: dict[str, bytes]) -> None:
-        self.old, self.new, self.missed = old, {}, 0
-
-    def __missing__(self, stretch: str) -> bytes:
-        if (ids := self.old.get(stretch)) is not None:
-            self[stretch] = ids
-            return ids
-        self.new[stretch] = None
-        self.missed += 1
-        return b""
-
-
 class Encoder:
     """Token ids, as bytes, of texts: each match of the pattern is merged by itself.
 
     What has been merged is kept by stretch and by piece, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
-        self.ranks, self.pattern, self.most = ranks(path), regex.compile(pattern), most
-        self.stretches, self.pieces = _Seen({}), {}
+    def __init__(self, path: str, pattern: str, most: int = 96 << 20):
+        self.ranks, self.pattern, self.most = ranks(path), regex.compile(pattern), most  # most: bytes of each of the three
+        self.stretches, self.pieces, self.size = Seen(), {}, 0
 
     def merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         out, sized = {}, {}
@@ -180,14 +164,17 @@ class Encoder:
 
     def learn(self, stretches: list[str]) -> None:
         parted = [[p.encode() for p in self.pattern.findall(x)] for x in stretches]
-        self.pieces |= self.merge(list({p for x in parted for p in x}.difference(self.pieces)))
-        self.stretches.update((x, b"".join(map(self.pieces.__getitem__, p))) for x, p in zip(stretches, parted))
+        new = self.merge(list({p for x in parted for p in x}.difference(self.pieces)))
+        self.pieces |= new
+        self.size += sum(map(len, new)) + sum(map(len, new.values())) + Seen.KEPT * len(new)
+        for x, p in zip(stretches, parted):
+            self.stretches.keep(x, b"".join(map(self.pieces.__getitem__, p)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.stretches) > self.most:
-            self.stretches = _Seen(dict(self.stretches))
-        if len(self.pieces) > self.most:
-            self.pieces = {}
+        if self.stretches.size > self.most:
+            self.stretches = Seen(dict(self.stretches))
+        if self.size > self.most:
+            self.pieces, self.size = {}, 0
         seen, parted = self.stretches, [_STRETCH.findall(x) for x in texts]
         out, again = [], []
         for i, x in enumerate(parted):

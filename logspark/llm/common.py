@@ -76,3 +76,25 @@ def importable(spark: SparkSession) -> None:
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
+class Seen(dict):
+    """Ids by word, in two generations: when the young one is full it becomes the old one, and whatever is
+    used of that moves back. Words in neither are noted and stand for no ids meanwhile."""
+
+    KEPT = 170  # bytes that Python adds to two such objects in a dictionary
+
+    def __init__(self, old: dict | None = None) -> None:
+        self.old, self.new, self.missed, self.size = old or {}, {}, 0, 0
+
+    def keep(self, word: str | bytes, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids) + self.KEPT
+
+    def __missing__(self, word: str | bytes) -> bytes:
+        if (ids := self.old.get(word)) is not None:
+            self.keep(word, ids)
+            return ids
+        self.new[word] = None
+        self.missed += 1
+        return b""

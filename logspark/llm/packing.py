@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import batches, checkpointed, last_at_most, utf8
+from logspark.llm.common import Seen, batches, checkpointed, last_at_most, utf8
 
 CAPACITY, END_ID = 4096, 1
 
@@ -31,37 +31,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Seen(dict):
-    """Ids by word, in two generations: when the young one is full it becomes the old one, and whatever is
-    used of that moves back. Words in neither are noted and stand for no ids meanwhile."""
-
-    def __init__(self, old: dict[bytes, bytes]) -> None:
-        self.old, self.new, self.missed, self.size = old, {}, 0, 0
-
-    def keep(self, word: bytes, ids: bytes) -> None:
-        self[word] = ids
-        self.size += len(word) + len(ids) + 170  # what Python adds to two such objects in a dictionary
-
-    def __missing__(self, word: bytes) -> bytes:
-        if (ids := self.old.get(word)) is not None:
-            self.keep(word, ids)
-            return ids
-        self.new[word] = None
-        self.missed += 1
-        return b""
-
-
 class WordIds:
     """Token ids, as bytes, of texts under a tokenizer that never joins across ASCII blanks.
 
     Each word is looked up among those seen; new ones of some texts go to the tokenizer together."""
 
     def __init__(self, path: str, most: int = 96 << 20):
-        self.path, self.most, self.seen = path, most, _Seen({})  # most: bytes of either generation
+        self.path, self.most, self.seen = path, most, Seen()  # most: bytes of either generation
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self.seen.size > self.most:
-            self.seen = _Seen(dict(self.seen))
+            self.seen = Seen(dict(self.seen))
         out, again, seen = [], [], self.seen
         for i, text in enumerate(texts):
             before = seen.missed
