@@ -7,14 +7,13 @@ Parquet below the shared folder and reads it again as the next one's docs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm import near_copies, packing, quality_divergence, surrogates, unit_dedup
-from logspark.llm.common import documents, importable
+from logspark.llm.common import documents, importable, shared_folder
 from logspark.llm.queries import KEY, word_ids
 
 
@@ -67,8 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder, docs = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir)
+    folder, docs = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
