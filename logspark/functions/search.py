@@ -2,21 +2,33 @@
 
 A text's tokens, lower-cased, without accents, stand between single blanks, with one at either end.
 A term is then a substring ` term `, a prefix ` term`, a phrase ` a b `. Operators are upper case:
-NOT binds tighter than AND, AND tighter than OR; terms side by side are AND-ed first of all.
+NOT binds tighter than AND, AND tighter than OR; terms side by side are AND-ed first of all. The token
+string is worked out once for a row, however many terms look at it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LETTERS = "".join(chr(c) for c in range(0xC0, 0x17F) if len(unicodedata.normalize("NFD", chr(c))) > 1)
-_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _LETTERS)
 BOTH = ("message", "raw_message")
+Test = Callable[[list[Column]], Column]  # of the token strings of the columns
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folds() -> dict[str, str]:
+    """Latin letters with marks, and the letters they are without them; marks by themselves are nothing."""
+    parted = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    return {c: d[0] for c, d in parted.items() if len(d) > 1 and d[0].isascii() and d[0].isalpha()}
+
+
+_FOLDS = _folds()
+_TABLE = str.maketrans(_FOLDS | dict.fromkeys(_MARKS, ""))
 
 
 class QuerySyntaxError(ValueError):
@@ -24,72 +36,99 @@ class QuerySyntaxError(ValueError):
 
 
 def tokens(text: Column) -> Column:
-    folded = F.translate(F.lower(F.translate(text, _LETTERS, _PLAIN)), _LETTERS, _PLAIN)
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded, r"[^\p{L}\p{N}\p{Co}]+", " ")), F.lit(" "))
+    folded = F.lower(F.translate(text, "".join(_FOLDS) + _MARKS, "".join(_FOLDS.values())))  # what has no counterpart goes
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded, r"[^\p{L}\p{N}\p{M}\p{Co}]+", " ")), F.lit(" "))
 
 
 def token_list(text: str) -> list[str]:
     """The same tokens of a query's text."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return [x for x in re.split(r"[\W_]+", plain) if x]
+    plain = text.translate(_TABLE).lower()
+    held = lambda c: unicodedata.category(c)[0] in "LNM" or unicodedata.category(c) == "Co"
+    return "".join(c if held(c) else " " for c in plain).split()
+
+
+def _tested(test: Test, columns: tuple[str, ...]) -> Column:
+    """test of the columns' token strings, each worked out once."""
+    held = F.struct(*[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    return F.exists(F.array(held), lambda x: test([x[f"t{i}"] for i in range(len(columns))]))
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
-def _phrase(words: list[str], prefix: bool, token_columns: list[Column]) -> Column:
+def _phrase(words: list[str], prefix: bool) -> Test:
     if not words:
-        return F.lit(False)
+        return lambda _: F.lit(False)
     needle = " " + " ".join(words) + ("" if prefix else " ")
-    return reduce(lambda a, b: a | b, [c.contains(needle) for c in token_columns])
+    return lambda held: _any([c.contains(needle) for c in held])
 
 
-def _near(words: list[list[str]], gap: int, token_columns: list[Column]) -> Column:
-    """All phrases in one column with at most `gap` tokens between them in all, in any order."""
-    from itertools import permutations
+def _near(phrases: list[list[str]], gap: int) -> Test:
+    """All phrases in one column, in any order, with at most `gap` tokens from the end of each to the start of the last.
 
-    def ordered(order: tuple, left: int) -> list[str]:
-        head = " ".join(map(re.escape, order[0])) + " "
-        if len(order) == 1:
-            return [head]
-        if len(order) == 2:
-            return [head + r"(?:\S+ ){0,%d}" % left + ordered(order[1:], 0)[0]]
-        return [head + r"(?:\S+ ){%d}" % g + rest for g in range(left + 1) for rest in ordered(order[1:], left - g)]
+    Places of each phrase are listed; for each place that may be the last, the others must have one near before it."""
+    if not phrases or not all(phrases):
+        return lambda _: F.lit(False)
 
-    orders = [f" {o}" for p in permutations(words) for o in ordered(p, gap)]
-    return reduce(lambda a, b: a | b, [c.rlike("|".join(f"(?:{o})" for o in orders)) for c in token_columns])
+    def places(found: Column, words: list[str]) -> Column:
+        at = F.sequence(F.lit(0), F.size(found))
+        return F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(found, i + k) == w, F.lit(False)) for k, w in enumerate(words)]))
+
+    def clump(found: Column) -> Column:
+        held = F.struct(*[places(found, w).alias(f"p{i}") for i, w in enumerate(phrases)])
+
+        def by_last(every: Column) -> Column:
+            def before(i: int, last: Column) -> Column:
+                return F.exists(every[f"p{i}"], lambda s: s.between(last - gap - len(phrases[i]), last))
+
+            def near(last: Column) -> Column:
+                return reduce(lambda a, b: a & b, [before(i, last) for i in range(len(phrases))])
+
+            return _any([F.exists(every[f"p{j}"], near) for j in range(len(phrases))])
+
+        return F.exists(F.array(held), by_last)
+
+    def test(held: list[Column]) -> Column:
+        all_there = lambda c: reduce(lambda a, b: a & b, [c.contains(f" {' '.join(w)} ") for w in phrases])
+        return _any([F.when(all_there(c), F.exists(F.array(F.split(F.btrim(c), " ")), clump)).otherwise(False) for c in held])
+
+    return test
 
 
 def words_match(query: str, columns: tuple[str, ...] = BOTH) -> Column:
     """Every word of the query begins a token of either column; a word without tokens matches nothing."""
-    token_columns = [tokens(F.col(c)) for c in columns]
     parts = [re.sub("[\"'()*:^{}]", "", w) or w for w in query.split()]
-    return reduce(lambda a, b: a & b, [_phrase(token_list(w), True, token_columns) for w in parts], F.lit(True))
+    tests = [_phrase(token_list(w), True) for w in parts]
+    return _tested(lambda held: reduce(lambda a, b: a & b, [t(held) for t in tests], F.lit(True)), columns)
 
 
+_NEAR = re.compile(r'((?:[^",]|"[^"]*")*)(?:,\s*(\d+)\s*)?')
 _ITEM = re.compile(r'\s*(?:(NEAR)\(([^()]*)\)|"((?:[^"]|"")*)"\s*(\*?)|([()])|([^\s()"*]+)(\*?))')
 
 
 def boolean_match(query: str, columns: tuple[str, ...] = BOTH) -> Column:
     """Predicate for a boolean query: terms, prefix*, "phrases", AND, OR, NOT, brackets, NEAR(a b, n)."""
-    token_columns = [tokens(F.col(c)) for c in columns]
     items, at = [], 0
     while query[at:].strip():
         if not (m := _ITEM.match(query, at)):
             raise QuerySyntaxError(query)
         at = m.end()
         if m[1]:
-            inner, _, gap = m[2].partition(",")
-            if gap and not gap.strip().isdigit():
+            if not (near := _NEAR.fullmatch(m[2])):
                 raise QuerySyntaxError(query)
-            items.append(_near([token_list(w) for w in inner.split()], int(gap or 10), token_columns))
+            phrases = [token_list(q if q else w) for q, w in re.findall(r'"([^"]*)"|([^\s"]+)', near[1])]
+            items.append(_near(phrases, int(near[2] or 10)))
         elif m[3] is not None:
-            items.append(_phrase(token_list(m[3]), bool(m[4]), token_columns))
+            items.append(_phrase(token_list(m[3]), bool(m[4])))
         elif m[5] or m[6] in ("AND", "OR", "NOT"):
             items.append(m[5] or m[6])
         elif not re.fullmatch(r"[\w\x80-\U0010ffff]+", m[6]):
             raise QuerySyntaxError(query)
         else:
-            items.append(_phrase(token_list(m[6]), bool(m[7]), token_columns))
+            items.append(_phrase(token_list(m[6]), bool(m[7])))
 
-    def side_by_side() -> Column:
+    def side_by_side() -> Test:
         out = None
         while items and (not isinstance(items[0], str) or items[0] == "("):
             x = items.pop(0)
@@ -97,13 +136,13 @@ def boolean_match(query: str, columns: tuple[str, ...] = BOTH) -> Column:
                 x = either()
                 if not items or items.pop(0) != ")":
                     raise QuerySyntaxError(query)
-            out = x if out is None else out & x
+            out = x if out is None else both(out, x)
         if out is None:
             raise QuerySyntaxError(query)
         return out
 
     def chain(below, word: str, join):
-        def run() -> Column:
+        def run() -> Test:
             out = below()
             while items and isinstance(items[0], str) and items[0] == word:
                 items.pop(0)
@@ -112,8 +151,12 @@ def boolean_match(query: str, columns: tuple[str, ...] = BOTH) -> Column:
 
         return run
 
-    either = chain(chain(chain(side_by_side, "NOT", lambda a, b: a & ~b), "AND", lambda a, b: a & b), "OR", lambda a, b: a | b)
+    def both(a: Test, b: Test) -> Test:
+        return lambda held: a(held) & b(held)
+
+    without = lambda a, b: lambda held: a(held) & ~b(held)
+    either = chain(chain(chain(side_by_side, "NOT", without), "AND", both), "OR", lambda a, b: lambda held: a(held) | b(held))
     found = either()
     if items:
         raise QuerySyntaxError(query)
-    return found
+    return _tested(found, columns)

@@ -138,6 +138,12 @@ full_text("search_fts_not", "of the NOT was", "contains(tok, ' of ') and contain
 full_text("search_fts_phrase", '"of the"', "contains(tok, ' of the ')")
 full_text("search_fts_prefix", "wort* OR CIÓN*", "contains(tok, ' wort') or contains(tok, ' cion')")
 full_text("search_fts_near", "NEAR(this was, 3)", r"regexp_matches(tok, ' this (?:\S+ ){0,3}was | was (?:\S+ ){0,3}this ')")
+_PLACES = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i] = '{x}') as p{k}" for k, x in enumerate(("the", "of", "was")))
+_CLOSE = " and ".join(f"len(list_filter(p{k}, lambda s: s between x - 5 and x)) > 0" for k in range(3))
+full_text("search_fts_near3", "NEAR(the of was, 4)", f"doc_id in (select doc_id from (select doc_id, {_PLACES} from (select doc_id, string_split(trim({_TOK.format('text')}), ' ') as w from documents)) where len(list_filter(list_concat(list_concat(p0, p1), p2), lambda x: {_CLOSE})) > 0)")
+of_documents("search_fts_accents", "select doc_id, lang from documents where text is not null and doc_id % 3 = 0")(
+    lambda d: d.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Tiếng Việt").otherwise(" Ting"))).where(search.boolean_match("tieng AND VIÊ*", ("text",))).select("doc_id", "lang")
+)
 
 # Joins, sorting, paging
 

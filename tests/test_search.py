@@ -1,13 +1,16 @@
+import random
+from itertools import product
+
 import pytest
 
 from logspark.functions.search import QuerySyntaxError, boolean_match, words_match
 from logspark.operators.filters import Filter, any_of, filtered, parse_date, valid_pattern
 
-TEXTS = ["connection refused by 10.0.0.1", "Café déjà vu ERROR", "error a b c d e f timeout", "errors happen; un-done", "refused connection", "timeout then error"]
+TEXTS = ["connection refused by 10.0.0.1", "Café déjà vu ERROR", "error a b c d e f timeout", "errors happen; un-done", "refused connection", "timeout then error", "Tiếng Việt, नमस्ते दुनिया Ёлка", "b x x a c; a b x c"]
 CASES = [
     ("cafe", {2}), ("CAFÉ", {2}), ("error OR fail", {2, 3, 6}), ("error NOT timeout", {2}), ("error timeout OR refused", {1, 3, 5, 6}), ("error or fail", set()),
     ('"connection refused"', {1}), ("err*", {2, 3, 4, 6}), ("NEAR(error timeout, 5)", {6}), ("NEAR(error timeout, 6)", {3, 6}), ("NEAR(error timeout)", {3, 6}),
-    ("error AND timeout", {3, 6}), ('"10.0.0.1"*', {1}), ("(error OR refused) NOT timeout", {1, 2, 5}), ("NEAR(a c f, 3)", {3}), ("NEAR(a c f, 2)", set()), ('"---"*', set()),
+    ("error AND timeout", {3, 6}), ('"10.0.0.1"*', {1}), ("(error OR refused) NOT timeout", {1, 2, 5}), ("NEAR(a c f, 4)", {3}), ("NEAR(a c f, 3)", set()), ("tieng", {7}), ("TIẾNG", {7}), ("viê*", {7}), ("नमस्ते", {7}), ("नम", set()), ('NEAR("b x" a, 1)', {8}), ('NEAR("a b" c, 0)', {3, 8}), ('NEAR("a c" b, 1)', {8}), ('NEAR("b a" c, 9)', set()), ("NEAR(a b c d e f, 9)", {3}), ("NEAR(timeout error b d, 6)", {3}), ("NEAR(timeout error b d, 5)", set()), ('"---"*', set()),
 ]
 
 
@@ -21,6 +24,21 @@ def test_boolean(texts, query, want):
     assert {r.i for r in texts.where(boolean_match(query, ("message",))).collect()} == want
 
 
+def test_near_is_what_every_choice_of_places_gives(spark):
+    pick = random.Random(1)
+    texts = [" ".join(pick.choice("abcdef") for _ in range(pick.randint(2, 12))) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, message string").cache()
+    for _ in range(12):
+        phrases, n = [[pick.choice("abcdef") for _ in range(pick.choice([1, 1, 2]))] for _ in range(pick.randint(2, 4))], pick.randint(0, 5)
+        want = set()
+        for i, words in enumerate(map(str.split, texts)):
+            places = [[k for k in range(len(words)) if words[k : k + len(p)] == p] for p in phrases]
+            if any(max(s) - min(a + len(p) for a, p in zip(s, phrases)) <= n for s in product(*places)):
+                want.add(i)
+        query = " ".join(f'"{" ".join(p)}"' for p in phrases)
+        assert {r.i for r in d.where(boolean_match(f"NEAR({query}, {n})", ("message",))).collect()} == want, query
+
+
 @pytest.mark.parametrize("query", ["error AND", "un-done", "10.0.0.1", "NOT x", "(a", "NEAR(a b, c)"])
 def test_syntax_error(spark, query):
     with pytest.raises(QuerySyntaxError):
