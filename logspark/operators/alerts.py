@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.labels import SEVERITIES
-from logspark.operators.filters import valid_pattern
+from logspark.operators.filters import in_either, valid_pattern
 from logspark.operators.rank import numbered
 from logspark.schema import RULE
 
@@ -16,7 +18,10 @@ KEEP = 500
 #: Signs by severity name, and the one for any other.
 ICONS = dict(zip(SEVERITIES, ("\U0001f6a8", "⚠️", "\U0001f525", "❌", "⚠️", "ℹ️", "ℹ️", "\U0001f41b")))
 BELL = "\U0001f514"
-_FIRES = "rule_id string, t long, seq long"
+_FIRE = ["rule_id", "t", "seq", "id"]
+_FIRES = "rule_id string, t long, seq long, id string"
+_WAYS = "rule_id string, b long, lead long, upto long, out long"
+FAN = 64  # buckets that a task puts together
 
 
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -27,23 +32,26 @@ def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(usable, "id string, name string, enabled boolean, pattern string, useRegex boolean, minSeverity int, hostname string, appName string, cooldown int, pos int")
 
 
-def matches(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Messages by enabled rules they match, with rule_id, rule_name, rule_pos and cooldown.
-
-    The rules are a configuration, a few rows that people write: they are broadcast."""
-    r = rules.where("enabled").select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+def _matched(rule: dict) -> Column:
+    """Whether a rule matches a message: literals only, so that a pattern is compiled once."""
+    tests = [F.lit(True)] if rule["minSeverity"] < 0 else [F.col("severity") <= rule["minSeverity"]]
+    tests += [F.lower(F.col(c)).contains(rule[k].lower()) for c, k in (("hostname", "hostname"), ("app_name", "appName")) if rule[k]]
+    if rule["pattern"] and rule["useRegex"]:
+        tests.append(F.col("message").rlike(f"(?i){rule['pattern']}") | F.col("raw_message").rlike(f"(?i){rule['pattern']}"))
+    elif rule["pattern"]:
+        tests.append(in_either(rule["pattern"]))
+    return reduce(lambda a, b: a & b, tests)
 
-    def has(column: str, needle: str) -> Column:
-        return (F.col(needle) == "") | F.lower(F.col(column)).contains(F.lower(needle))
 
-    def found(column: str) -> Column:
-        pattern = F.when(F.col("r_useRegex"), F.concat(F.lit("(?i)"), F.col("r_pattern"))).otherwise("")
-        return F.when(F.col("r_useRegex"), F.regexp_like(column, pattern)).otherwise(F.lower(F.col(column)).contains(F.lower("r_pattern")))
+def matches(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Messages by enabled rules they match, with rule_id, rule_name, rule_pos and cooldown.
 
-    severe = (F.col("r_minSeverity") < 0) | (F.col("severity") <= F.col("r_minSeverity"))
-    said = (F.col("r_pattern") == "") | found("message") | found("raw_message")
-    joined = messages.join(F.broadcast(r), severe & has("hostname", "r_hostname") & has("app_name", "r_appName") & said)
-    return joined.select(*messages.columns, F.col("r_id").alias("rule_id"), F.col("r_name").alias("rule_name"), F.col("r_pos").alias("rule_pos"), F.col("r_cooldown").alias("cooldown"))
+    The rules are a configuration, a few rows that people write: each becomes a predicate, and nothing is joined."""
+    known = [r.asDict() for r in rules.where("enabled").collect()]
+    rule = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["pos"]).alias("rule_pos"), F.lit(r["cooldown"]).alias("cooldown"))
+    none = F.array().cast("array<struct<rule_id:string,rule_name:string,rule_pos:int,cooldown:int>>")
+    found = F.array_compact(F.array(*[F.when(_matched(r), rule(r)) for r in known])) if known else none
+    return messages.select(*messages.columns, F.inline(found))
 
 
 def fire_places(t: np.ndarray, cooldown: int, start: int = 0) -> np.ndarray:
@@ -56,70 +64,127 @@ def fire_places(t: np.ndarray, cooldown: int, start: int = 0) -> np.ndarray:
 
 
 def _timed(hits: DataFrame) -> DataFrame:
-    return hits.where("cooldown > 0").select("rule_id", F.unix_micros("received_at").alias("t"), "seq", (F.col("cooldown").cast("long") * 1_000_000).alias("c"))
+    """(rule_id, t, c, seq, id): the first hit of each rule at each time; no other hit of that time can fire.
+
+    Minima are summed up before the shuffle, so a burst is one row a task."""
+    first = F.min(F.struct("seq", "id")).alias("first")
+    timed = hits.where("cooldown > 0").groupBy("rule_id", F.unix_micros("received_at").alias("t"), (F.col("cooldown").cast("long") * 1_000_000).alias("c")).agg(first)
+    return timed.select("rule_id", "t", "c", "first.seq", "first.id")
 
 
 def _with_fires(hits: DataFrame, fires: DataFrame) -> DataFrame:
     """The hits that fire: those of fires, and all of rules without a cooldown."""
-    return hits.join(fires.select("rule_id", "seq"), ["rule_id", "seq"], "left_semi").select(hits.columns).unionByName(hits.where("cooldown <= 0"))
+    f = fires.select(F.col("rule_id").alias("f_rule"), F.col("t").alias("f_t"), F.col("seq").alias("f_seq"), F.col("id").alias("f_id"))
+    same = (hits.rule_id == f.f_rule) & (F.unix_micros(hits.received_at) == f.f_t) & (hits.seq == f.f_seq) & (hits.id == f.f_id)
+    return hits.where("cooldown > 0").join(f, same, "left_semi").unionByName(hits.where("cooldown <= 0"))
 
 
 def fired_by_rule(hits: DataFrame) -> DataFrame:
     """Hits that fire, each rule's times in one task: for rules with few hits."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["t", "seq"])
-        return p.iloc[fire_places(p.t.to_numpy(), int(p.c.iloc[0]))][["rule_id", "t", "seq"]]
+        p = p.sort_values("t")
+        return p.iloc[fire_places(p.t.to_numpy(), int(p.c.iloc[0]))][_FIRE]
 
     return _with_fires(hits, _timed(hits).groupBy("rule_id").applyInPandas(run, _FIRES))
 
 
-def fired(hits: DataFrame, width: int = 16) -> DataFrame:
-    """Hits that fire, each rule's time line cut into buckets of `width` cooldowns; the same as fired_by_rule.
-
-    A chain enters a bucket within its first cooldown, or at the first hit after that. For each such
-    place the bucket tells where a chain from there ends; walking these few rows rule by rule gives each
-    bucket's true entry, from which it then marks its fires."""
-    timed = _timed(hits).withColumn("b", F.floor(F.col("t") / (F.col("c") * width)).cast("long"))
-
-    def exits(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["t", "seq"])
-        t, c, b = p.t.to_numpy(), int(p.c.iloc[0]), int(p.b.iloc[0])
-        after = np.searchsorted(t, t + c, "left")
-        last = np.arange(t.size)
-        for i in range(t.size - 1, -1, -1):
-            if after[i] < t.size:
-                last[i] = last[after[i]]
-        n = min(t.size, int(np.searchsorted(t, b * c * width + c, "left")) + 1)
-        return p.iloc[:n].assign(leaves=t[last[:n]])[["rule_id", "b", "c", "t", "leaves"]]
-
-    def entries(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["b", "t"], kind="stable").reset_index(drop=True)
-        at, last, c = [], None, int(p.c.iloc[0])
-        for _, of in p.groupby("b", sort=True):
-            t = of.t.to_numpy()
-            i = 0 if last is None else int(np.searchsorted(t, last + c, "left"))
-            if i < t.size:
-                at.append(of.index[i])
-                last = int(of.leaves.iloc[i])
-        return p.loc[at].rename(columns={"t": "entry"})[["rule_id", "b", "entry"]]
-
-    def marked(key: tuple, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or e.empty:
-            return p.iloc[:0][["rule_id", "t", "seq"]]
-        p = p.sort_values(["t", "seq"])
+def exits(t: np.ndarray, cooldown: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a bucket makes of the time from which on its rule may fire again, as (upto, out): of that time it makes the
+    out of the first upto that isn't before it, and leaves it as it is after the last.
+
+    t: the bucket's ascending times; end: where its first cooldown ends. Who comes from before enters by then or at the next hit."""
+    after = np.searchsorted(t, t + cooldown, "left")
+    last = np.where(after < t.size, after, np.arange(t.size))
+    while not np.array_equal(ahead := last[last], last):
+        last = ahead
+    return _classes(t, t[last] + cooldown, end)
+
+
+def _classes(upto: np.ndarray, out: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each distinct out, of rows that can be reached."""
+    n = min(upto.size, int(np.searchsorted(upto, end, "left")) + 1)
+    upto, out = upto[:n], out[:n]
+    keep = np.r_[out[1:] != out[:-1], True][:n]
+    return upto[keep], out[keep]
+
+
+def passed(since: np.ndarray, upto: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The times from which on a rule may fire again, after a bucket with these exits."""
+    i = np.searchsorted(upto, since, "left")
+    return np.where(i < upto.size, out[np.minimum(i, upto.size - 1)], since)
+
+
+def _entries(ways: DataFrame, buckets: int, start: int = -(1 << 62)) -> DataFrame:
+    """(rule_id, b, since): from when on each bucket's rule may fire again, as the bucket begins.
+
+    ways(rule_id, b, lead, upto, out): the exits of each bucket; lead is where its first cooldown ends. FAN buckets in
+    a row are put together until one is left for each rule; then each takes its entry apart again. No task sees more than FAN buckets."""
+
+    def parts(p: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+        return list(p.sort_values(["b", "upto"]).groupby("b", sort=True))
+
+    def together(p: pd.DataFrame) -> pd.DataFrame:
+        upto, out = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, of in parts(p):
+            u, o = of.upto.to_numpy(), of.out.to_numpy()
+            upto, out = np.r_[upto, u], np.r_[passed(out, u, o), o]
+        lead = int(p.lead.min())
+        upto, out = _classes(upto, out, lead)
+        return pd.DataFrame({"rule_id": p.rule_id.iloc[0], "b": int(p.b.iloc[0]) // FAN, "lead": lead, "upto": upto, "out": out})
+
+    def apart(p: pd.DataFrame, since: int) -> pd.DataFrame:
+        rows = []
+        for b, of in parts(p):
+            rows.append((p.rule_id.iloc[0], b, since))
+            since = int(passed(np.array([since]), of.upto.to_numpy(), of.out.to_numpy())[0])
+        return pd.DataFrame(rows, columns=["rule_id", "b", "since"])
+
+    entry = "rule_id string, b long, since long"
+    if buckets <= FAN:
+        return ways.groupBy("rule_id").applyInPandas(lambda p: apart(p, start), entry)
+    group = F.floor(F.col("b") / FAN).cast("long").alias("g")
+    higher = ways.groupBy("rule_id", group).applyInPandas(together, _WAYS).persist()
+    above = _entries(higher, -(-buckets // FAN), start).withColumnRenamed("b", "g")
+    both = ways.withColumn("g", group).groupBy("rule_id", "g").cogroup(above.groupBy("rule_id", "g"))
+    return both.applyInPandas(lambda p, e: apart(p, int(e.since.iloc[0])) if len(p) else pd.DataFrame({"rule_id": [], "b": [], "since": []}), entry)
+
+
+def fired(hits: DataFrame, rows: int = 500_000, width: int | None = None) -> DataFrame:
+    """Hits that fire, each rule's time line cut into buckets of about `rows` times; the same as fired_by_rule.
+
+    A bucket is `width` cooldowns, from one up, chosen for each rule by how dense its hits are: busy rules have many
+    buckets. A bucket alone tells what it makes of any time from which on its rule may fire again; see _entries.
+    From its true entry each bucket then marks its fires."""
+    timed = _timed(hits).persist()
+    span = timed.groupBy("rule_id", "c").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n")).collect()  # a row for each rule
+    if not span:
+        return hits
+    wide = {r.rule_id: r.c * (width or int(max(1, min(4096, rows * (r["last"] - r["first"] + 1) // (r.n * r.c))))) for r in span}
+    buckets = max((r["last"] - r["first"]) // wide[r.rule_id] + 1 for r in span)
+    of_rule = lambda f: F.create_map(*[F.lit(x) for r in span for x in (r.rule_id, f(r))])[F.col("rule_id")]
+    first, long = of_rule(lambda r: r["first"]), of_rule(lambda r: wide[r.rule_id])
+    b = F.floor((F.col("t") - first) / long).cast("long")
+    dealt = timed.withColumn("b", b).withColumn("lead", first + F.col("b") * long + F.col("c"))
+
+    def ways(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("t")
+        upto, out = exits(p.t.to_numpy(), int(p.c.iloc[0]), int(p.lead.iloc[0]))
+        return pd.DataFrame({"rule_id": p.rule_id.iloc[0], "b": int(p.b.iloc[0]), "lead": int(p.lead.iloc[0]), "upto": upto, "out": out})
+
+    def marked(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("t")
         t = p.t.to_numpy()
-        return p.iloc[fire_places(t, int(p.c.iloc[0]), int(np.searchsorted(t, int(e.entry.iloc[0]), "left")))][["rule_id", "t", "seq"]]
+        return p.iloc[fire_places(t, int(p.c.iloc[0]), int(np.searchsorted(t, int(e.since.iloc[0]), "left")))][_FIRE] if len(p) else p[_FIRE]
 
-    ends = timed.groupBy("rule_id", "b").applyInPandas(exits, "rule_id string, b long, c long, t long, leaves long")
-    entered = ends.groupBy("rule_id").applyInPandas(entries, "rule_id string, b long, entry long")
-    fires = timed.groupBy("rule_id", "b").cogroup(entered.groupBy("rule_id", "b")).applyInPandas(marked, _FIRES)
+    least = dealt.select("rule_id", "b", "c", "lead", "t").groupBy("rule_id", "b").applyInPandas(ways, _WAYS).persist()
+    fires = dealt.groupBy("rule_id", "b").cogroup(_entries(least, buckets).groupBy("rule_id", "b")).applyInPandas(marked, _FIRES)
     return _with_fires(hits, fires)
 
 
 def events(fires: DataFrame) -> DataFrame:
-    """Alert events of fires; several rules may fire on one message, in the rules' order."""
-    return fires.select(F.concat_ws(":", "rule_id", "seq").alias("id"), F.col("rule_id").alias("ruleId"), F.col("rule_name").alias("ruleName"), "message", F.col("severity_label").alias("severity"), "hostname", F.col("received_at").alias("timestamp"), "seq", "rule_pos")
+    """Alert events of fires; several rules may fire on one message, in the rules' order. An event's id is of rule and message."""
+    return fires.select(F.concat_ws(":", "rule_id", "id").alias("id"), F.col("rule_id").alias("ruleId"), F.col("rule_name").alias("ruleName"), "message", F.col("severity_label").alias("severity"), "hostname", F.col("received_at").alias("timestamp"), "seq", "rule_pos")
 
 
 def history(new: DataFrame, old: DataFrame | None = None, keep: int = KEEP) -> DataFrame:

@@ -234,6 +234,16 @@ def of_fires(name: str, sql: str) -> Callable[[Callable[[DataFrame], DataFrame]]
 of_messages("alert_matches", _MATCHES_SQL + "select seq, rule_id, rule_name, rule_pos from h")(lambda m: hits(m).select("seq", "rule_id", "rule_name", "rule_pos"))
 of_fires("alert_cooldown", "select rule_id, seq from fired where cooldown > 0")(lambda m: alerts.fired(hits(m)).where("cooldown > 0").select("rule_id", "seq"))
 of_fires("alert_no_cooldown", "select rule_id, seq from fired where cooldown = 0")(lambda m: alerts.fired(hits(m)).where("cooldown = 0").select("rule_id", "seq"))
+_TRANSPORTS = ("UDP", "TCP", "TLS")
+
+
+def received(m: DataFrame) -> DataFrame:
+    """The messages as the lines of three transports bring them."""
+    lines = lines_of(m)
+    return parse.parse(union_transports(*[lines.where(F.col("protocol") == p).drop("id") for p in _TRANSPORTS]))
+
+
+of_fires("alert_cooldown_union", f"select rule_id, seq * 3 + case protocol {' '.join(f"when '{p}' then {k}" for k, p in enumerate(_TRANSPORTS))} end as seq from fired where rule_id = 'r1'")(lambda m: alerts.fired(hits(received(m)).where("rule_id = 'r1'")).select("rule_id", "seq"))
 _EVENT = """id, "ruleId", "ruleName", message, severity, hostname, strftime(t, '%Y-%m-%d %H:%M:%S.%f') as t"""
 _event = ["id", "ruleId", "ruleName", "message", "severity", "hostname"]
 of_fires("alert_events", f"select {_EVENT} from ev")(lambda m: told(m).select(*_event, stamp("timestamp").alias("t")))

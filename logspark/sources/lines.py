@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from logspark.schema import MESSAGE, RULE
 
+KAFKA_PARTITIONS = 4096  # of a topic, at most
+
 
 def raw_lines(texts: DataFrame, protocol: str, source_ip: Column | None = None, received_at: Column | None = None, seq: Column | None = None) -> DataFrame:
     """Raw lines of texts(value, ...): empty ones are skipped, each carries where it came from and when."""
@@ -25,7 +27,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], protocol: str, sourc
 
 
 def stream_lines(spark: SparkSession, path: str, protocol: str, source_ip: str = "") -> DataFrame:
-    """The same of files as they come. Streams have no line numbers: seq is the time of arrival, so equal
+    """The same of files as they come. Streams have no line numbers: seq is the time of arrival, ids break ties; equal
     lines of one file are one message to whoever drops repeated ids."""
     arrival = F.col("_metadata.file_modification_time")
     return raw_lines(spark.readStream.text(path), protocol, F.lit(source_ip), arrival, F.unix_micros(arrival))
@@ -34,8 +36,9 @@ def stream_lines(spark: SparkSession, path: str, protocol: str, source_ip: str =
 def stream_kafka(spark: SparkSession, servers: str, topic: str, protocol: str = "UDP") -> DataFrame:
     """Lines of a Kafka topic whose keys are senders' addresses; needs the Kafka connector on the cluster."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    texts = raw.select(F.col("value").cast("string").alias("value"), F.col("key").cast("string").alias("sender"), "timestamp", "offset")
-    return raw_lines(texts, protocol, F.coalesce("sender", F.lit("")), F.col("timestamp"), F.col("offset"))
+    place = F.col("offset") * KAFKA_PARTITIONS + F.col("partition")  # offsets count anew in each partition
+    texts = raw.select(F.col("value").cast("string").alias("value"), F.col("key").cast("string").alias("sender"), "timestamp", place.alias("place"))
+    return raw_lines(texts, protocol, F.coalesce("sender", F.lit("")), F.col("timestamp"), F.col("place"))
 
 
 def stream_socket(spark: SparkSession, host: str, port: int, protocol: str = "TCP") -> DataFrame:
@@ -45,7 +48,9 @@ def stream_socket(spark: SparkSession, host: str, port: int, protocol: str = "TC
 
 
 def union_transports(*lines: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, lines)
+    """The lines of all transports; a line's seq makes room for theirs, so that no two lines share one and each
+    transport's order stays."""
+    return reduce(DataFrame.unionByName, [d.withColumn("seq", F.col("seq") * len(lines) + k) for k, d in enumerate(lines)])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -56,17 +56,17 @@ def dashboard(messages: DataFrame, checkpoint: str, show, n: int = 10, trigger:
 
 
 def _cooled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    p = pd.concat(list(frames)).sort_values(["t", "seq"])
+    p = pd.concat(list(frames)).sort_values(["t", "seq", "id"])
     last = state.get[0] if state.exists else None
     t, c = p.t.to_numpy(), int(p.c.iloc[0])
     places = alerts.fire_places(t, max(c, 1), 0 if last is None else int(t.searchsorted(last + c, "left"))) if c > 0 else range(t.size)
     out = p.iloc[list(places)]
     if len(out):
         state.update((int(out.t.iloc[-1]),))
-    yield out[["rule_id", "t", "seq"]]
+    yield out[["rule_id", "t", "seq", "id"]]
 
 
 def cooled(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, t in microseconds, seq) of fires; the state is the last fire of each rule."""
-    hits = alerts.matches(messages, rules).select("rule_id", F.unix_micros("received_at").alias("t"), "seq", (F.col("cooldown").cast("long") * 1_000_000).alias("c"))
-    return hits.groupBy("rule_id").applyInPandasWithState(_cooled, "rule_id string, t long, seq long", "last long", "append", GroupStateTimeout.NoTimeout)
+    """(rule_id, t in microseconds, seq, id) of fires; the state is the last fire of each rule."""
+    hits = alerts.matches(messages, rules).select("rule_id", F.unix_micros("received_at").alias("t"), "seq", "id", (F.col("cooldown").cast("long") * 1_000_000).alias("c"))
+    return hits.groupBy("rule_id").applyInPandasWithState(_cooled, "rule_id string, t long, seq long, id string", "last long", "append", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -50,7 +51,7 @@ def test_plans(m, spark):
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     source = messages(spark, SF_DIR)
     assert "TakeOrderedAndProject" in plan(stats.top_sources(source)) and "WindowGroupLimit" in plan(groups.top_of_each(source, "hostname", 5))
-    assert "BroadcastNestedLoopJoin" in plan(hits(source)) and "SinglePartition" not in plan(retention.by_age(source, datetime(2024, 1, 31, tzinfo=timezone.utc), 7))
+    assert "Join" not in plan(hits(source)) and "Exchange" not in plan(hits(source)) and "SinglePartition" not in plan(retention.by_age(source, datetime(2024, 1, 31, tzinfo=timezone.utc), 7))
 
 
 def test_unknown_group_is_empty(m):
@@ -78,8 +79,11 @@ def test_first_by_id_ignores_order_of_rows(m):
 
 
 RULE_CASES = [
-    ({"pattern": "error"}, {"message": "an error occurred"}, 1), ({"pattern": "error"}, {"message": "all good"}, 0), ({"pattern": "err(or|eur)", "useRegex": True}, {"message": "une erreur"}, 1), ({"minSeverity": 4}, {"severity": 4}, 1), ({"minSeverity": 4}, {"severity": 6}, 0), ({"minSeverity": 4}, {"severity": 0}, 1),
-    ({"hostname": "web"}, {"hostname": "web-server-01"}, 1), ({"hostname": "web"}, {"hostname": "db-server-01"}, 0), ({"appName": "nginx"}, {"app_name": "nginx"}, 1), ({"appName": "nginx"}, {"app_name": "postgres"}, 0), ({"enabled": False}, {}, 0), ({"pattern": "[invalid", "useRegex": True}, {}, 0), ({"pattern": "ERROR"}, {"message": "an error occurred"}, 1), ({}, {}, 1),
+    ({"pattern": "disk full"}, {"message": "volume 3: Disk Full"}, 1), ({"pattern": "disk full"}, {"message": "volume 3 mounted"}, 0), ({"pattern": "disk full"}, {"raw_message": "<11>DISK FULL"}, 1),
+    ({"pattern": r"port (22|23)\b", "useRegex": True}, {"message": "knock at PORT 23"}, 1), ({"pattern": r"port (22|23)\b", "useRegex": True}, {"message": "port 230"}, 0), ({"pattern": "(unclosed", "useRegex": True}, {"message": "(unclosed"}, 0),
+    ({"minSeverity": 2}, {"severity": 2}, 1), ({"minSeverity": 2}, {"severity": 3}, 0), ({"minSeverity": 0}, {"severity": 0}, 1), ({"minSeverity": -1}, {"severity": 7}, 1),
+    ({"hostname": "EDGE"}, {"hostname": "edge-router-9"}, 1), ({"hostname": "edge"}, {"hostname": "core-router-9"}, 0), ({"appName": "dhcp"}, {"app_name": "isc-DHCPd"}, 1), ({"appName": "dhcp"}, {"app_name": "named"}, 0),
+    ({"enabled": False}, {}, 0), ({}, {}, 1), ({"pattern": "full", "hostname": "edge"}, {"message": "full", "hostname": "core"}, 0),
 ]
 
 
@@ -91,8 +95,8 @@ def test_rule(spark, rule, message, want):
 
 
 def matched(spark, seconds, cooldown):
-    rows = [(i, datetime.fromtimestamp(1_700_000_000 + s, timezone.utc), "a", cooldown) for i, s in enumerate(seconds)]
-    return spark.createDataFrame(rows, "seq long, received_at timestamp, rule_id string, cooldown int")
+    rows = [(i, str(i), datetime.fromtimestamp(1_700_000_000 + s, timezone.utc), "a", cooldown) for i, s in enumerate(seconds)]
+    return spark.createDataFrame(rows, "seq long, id string, received_at timestamp, rule_id string, cooldown int")
 
 
 @pytest.mark.parametrize("fired", [alerts.fired, alerts.fired_by_rule])
@@ -104,10 +108,40 @@ def test_cooldown(spark, fired):
 
 @pytest.mark.parametrize("width", [1, 2, 16])
 def test_buckets_give_what_rules_give(m, width):
-    a, b = alerts.fired(hits(m), width), alerts.fired_by_rule(hits(m))
+    a, b = alerts.fired(hits(m), width=width), alerts.fired_by_rule(hits(m))
     assert sorted(a.select("rule_id", "seq").collect()) == sorted(b.select("rule_id", "seq").collect())
 
 
+def greedy(seconds, cooldown):
+    out = []
+    for s in sorted(seconds):
+        if not out or s >= out[-1] + cooldown:
+            out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("cooldown,every", [(1, 1), (7, 1), (60, 3), (600, 1), (5, 20)])
+def test_busy_rule_in_many_buckets(spark, monkeypatch, cooldown, every):
+    """One rule that matches all rows, its time line cut into buckets of one cooldown that are put together two by two."""
+    monkeypatch.setattr(alerts, "FAN", 2)
+    pick = random.Random(cooldown)
+    seconds = sorted({pick.randrange(0, 1500 * every, every) + (every > 3) * pick.randrange(3) for _ in range(700)} | {50_000, 50_001})
+    got = alerts.fired(matched(spark, seconds, cooldown), rows=1)
+    assert sorted(seconds[r.seq] for r in got.collect()) == greedy(seconds, cooldown)
+
+
+def test_hits_that_share_a_seq(spark):
+    rows = [(1, "b", datetime(2024, 1, 1, 0, 0, 0), "a", 60), (1, "c", datetime(2024, 1, 1, 0, 0, 30), "a", 60), (1, "a", datetime(2024, 1, 1, 0, 0, 0), "a", 60), (2, "d", datetime(2024, 1, 1, 0, 1, 0), "a", 60)]
+    d = spark.createDataFrame(rows, "seq long, id string, received_at timestamp, rule_id string, cooldown int")
+    for fired in (alerts.fired, alerts.fired_by_rule):
+        assert sorted(r.id for r in fired(d).collect()) == ["a", "d"]
+
+
+def test_no_rules(m):
+    none = alerts.rules_frame(m.sparkSession, [])
+    assert alerts.matches(m, none).count() == 0 and alerts.fired(alerts.matches(m, none)).count() == 0
+
+
 def test_history_keeps_the_newest(m):
     rules = alerts.rules_frame(m.sparkSession, [{"id": "a", "name": "x"}, {"id": "b", "name": "y"}])
     every = alerts.events(alerts.fired(alerts.matches(m, rules)))
