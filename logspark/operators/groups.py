@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logspark.operators.filters import Filter, filtered
 from logspark.operators.query import order
 
+#: Names that a caller may group by, and their columns.
 GROUP_FIELDS = {"severity": "severity_label", "severity_label": "severity_label", "hostname": "hostname", "appName": "app_name", "app_name": "app_name", "sourceIP": "source_ip", "source_ip": "source_ip"}
 
 
@@ -33,6 +34,8 @@ def shares(groups: DataFrame) -> DataFrame:
 
 
 def top_of_each(messages: DataFrame, field: str, k: int = 500, f: Filter = Filter(), sort_field: str = "timestamp", direction: str = "desc") -> DataFrame:
-    """The first k messages of each group in the given order, with key and pos."""
-    keyed = filtered(messages, f).withColumn("key", group_key(field))
+    """The first k messages of each group in the given order, with key and pos; none for an unknown field."""
+    if (key := group_key(field)) is None:
+        return messages.where(F.lit(False)).withColumns({"key": F.lit(""), "pos": F.lit(0)})
+    keyed = filtered(messages, f).withColumn("key", key)
     return keyed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(*order(sort_field, direction)))).where(F.col("pos") <= k)

@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from logspark.operators.filters import Filter, filtered
 from logspark.operators.rank import numbered, page_at
 
+#: Names that a caller may sort by, and their columns.
 SORT_FIELDS = {"timestamp": "timestamp", "severity": "severity", "hostname": "hostname", "appName": "app_name", "app_name": "app_name", "sourceIP": "source_ip", "source_ip": "source_ip", "protocol": "protocol", "message": "message"}
 DEEP = 100_000  # rows: pages that end beyond this are found by rank
 
 
+def order_by(sort_field: str = "timestamp", direction: str = "desc") -> tuple[tuple[str, bool], ...]:
+    """(column, descending), ids breaking ties; an unknown field is timestamp, any direction but asc is descending."""
+    return tuple((c, direction != "asc") for c in (SORT_FIELDS.get(sort_field, "timestamp"), "id"))
+
+
 def order(sort_field: str = "timestamp", direction: str = "desc") -> list[Column]:
-    """Sort order, ids breaking ties; an unknown field is timestamp, any direction but asc is descending."""
-    c = F.col(SORT_FIELDS.get(sort_field, "timestamp"))
-    return [c.asc(), F.col("id").asc()] if direction == "asc" else [c.desc(), F.col("id").desc()]
+    return [F.desc(c) if down else F.asc(c) for c, down in order_by(sort_field, direction)]
+
+
+def page_of(rows: DataFrame, offset: int, size: int, sort_field: str, direction: str, deep: int) -> DataFrame:
+    """Rows of a page, unordered: deep ones are found by counting, so that no task sorts all that comes before."""
+    if offset + size > deep:
+        return page_at(rows, offset, size, order_by(sort_field, direction))
+    return rows.orderBy(*order(sort_field, direction)).offset(offset).limit(size)
 
 
 def page_bounds(page: int, size: int) -> tuple[int, int]:
@@ -35,18 +46,15 @@ def page_count(total: int, size: int) -> int:
 def query_page(messages: DataFrame, f: Filter = Filter(), page: int = 1, size: int = 100, sort_field: str = "timestamp", direction: str = "desc", deep: int = DEEP) -> DataFrame:
     """One page of the filtered messages, with pos counting from 1 within it; past the end it's empty."""
     offset, size = page_bounds(page, size)
-    by, found = order(sort_field, direction), filtered(messages, f)
-    if offset + size > deep and SORT_FIELDS.get(sort_field, "timestamp") == "timestamp" and direction != "asc":
-        return numbered(page_at(found, offset, size), *by)
-    return numbered(found.orderBy(*by).offset(offset).limit(size), *by)
+    return numbered(page_of(filtered(messages, f), offset, size, sort_field, direction, deep), *order(sort_field, direction))
 
 
-def regex_page(messages: DataFrame, f: Filter, page: int = 1, size: int = 100, sort_field: str = "timestamp", direction: str = "desc") -> DataFrame:
+def regex_page(messages: DataFrame, f: Filter, page: int = 1, size: int = 100, sort_field: str = "timestamp", direction: str = "desc", deep: int = DEEP) -> DataFrame:
     """Like query_page: the page's ids are found on few columns, then its rows are fetched whole."""
     offset, size = page_bounds(page, size)
-    column, by = SORT_FIELDS.get(sort_field, "timestamp"), order(sort_field, direction)
-    ids = filtered(messages, f).select("id", column).orderBy(*by).offset(offset).limit(size).select("id")
-    return numbered(fetch(messages, ids), *by)
+    few = filtered(messages, f).select("id", SORT_FIELDS.get(sort_field, "timestamp"))
+    ids = page_of(few, offset, size, sort_field, direction, deep).select("id")
+    return numbered(fetch(messages, ids), *order(sort_field, direction))
 
 
 def fetch(messages: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,68 +1,75 @@
 """The newest n rows, and rows at deep offsets, without sorting everything in one task.
 
-Rows are counted by time bucket; a running sum over the buckets tells which one holds the boundary;
-only rows of that bucket are ranked. A bucket with too many rows is cut by a finer unit.
+Rows are counted by the beginnings of their values, days or first letters; a running sum over these groups
+tells which one holds the boundary; only its rows are ranked. A group with too many rows is cut by a finer unit, and
+rows that are equal in one column by the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)  # microseconds
 MOST_RANKED = 200_000
 
 
-def _bucket(name: str, unit: int) -> Column:
-    return F.floor(F.unix_micros(name) / F.lit(unit)).cast("long") if unit > 1 else F.unix_micros(name)
-
-
-def boundary(rows: DataFrame, n: int, name: str = "timestamp", most_ranked: int = MOST_RANKED) -> tuple[int, int, int] | None:
-    """(unit, bucket, rest): buckets above this one hold n - rest rows, fewer than n, and it has at least rest rows.
-
-    None if there are no more than n rows. The histogram of the coarsest unit is small; a finer one is
-    taken of one bucket only."""
-    part, left = rows, n
-    for unit in UNITS:
-        counts = part.groupBy(_bucket(name, unit).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
-        for b, size in counts:
-            if size >= left:
-                break
-            left -= size
-        else:
-            return None
-        if size <= most_ranked or unit == 1:
-            return unit, b, left
-        part = part.where(_bucket(name, unit) == b)
-    return None
-
-
 def newest(rows: DataFrame, n: int, name: str = "timestamp", ties: str = "id", most_ranked: int = MOST_RANKED) -> DataFrame:
     """The n rows with the latest `name`, ties by the larger `ties`; all rows if there are no more."""
     if n <= 0:
         return rows.where(F.lit(False))
-    found = boundary(rows, n, name, most_ranked)
-    if found is None:
+    if (found := place(rows, n, ((name, True), (ties, True)), most_ranked)) is None:
         return rows
-    unit, bucket, left = found
-    b = _bucket(name, unit)
-    sure, edge = rows.where(b > bucket), rows.where(b == bucket)
-    return sure.unionByName(edge.orderBy(F.desc(name), F.desc(ties)).limit(left))
-
-
-def page_at(rows: DataFrame, offset: int, size: int, name: str = "timestamp", ties: str = "id") -> DataFrame:
-    """Rows offset .. offset + size - 1 in descending order of (name, ties): the last of the newest offset + size."""
-    start, end = boundary(rows, offset + 1, name), boundary(rows, offset + size, name)
-    if start is None and rows.count() <= offset:
+    ahead, at, left = found
+    return rows.where(ahead).unionByName(rows.where(at).orderBy(F.desc(name), F.desc(ties)).limit(left))
+
+
+def _steps(rows: DataFrame, name: str) -> Iterator[tuple[Column, int]]:
+    """Keys that cut the values of a column ever finer, in its order, and the length of a text that they tell whole."""
+    kind = rows.schema[name].dataType.typeName()
+    if kind == "string":
+        longest = rows.agg(F.max(F.length(name))).first()[0] or 0
+        yield from ((F.substring(name, 1, k), k) for k in range(2, longest + 2, 2))
+    elif kind == "timestamp":
+        yield from ((F.date_trunc(unit, F.col(name)), 0) for unit in ("day", "hour", "minute", "second", "millisecond", "microsecond"))
+    else:
+        yield F.col(name), 0
+
+
+def place(rows: DataFrame, n: int, by: tuple[tuple[str, bool], ...], most_ranked: int = MOST_RANKED) -> tuple[Column, Column, int] | None:
+    """Where the n-th row lies in the order `by`, of (column, descending), the last column being unique.
+
+    (ahead, at, left): ahead holds for n - left rows, all before it; at for a group of rows in which it's the left-th: no
+    more than most_ranked, but where rows are equal. None if there are fewer than n rows. Each step counts the
+    values' beginnings, two characters more than the step before, within one group."""
+    ahead, at, part, left = F.lit(False), F.lit(True), rows, n
+    for name, down in by:
+        for key, told in _steps(part, name):
+            counts = part.groupBy(key.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b") if down else F.asc("b")).collect()
+            for b, size in counts:
+                if size >= left:
+                    break
+                left -= size
+            else:
+                return None
+            ahead, at, part = ahead | (at & (key > F.lit(b) if down else key < F.lit(b))), at & (key == F.lit(b)), part.where(key == F.lit(b))
+            if size <= most_ranked:
+                return ahead, at, left
+            if told and len(b) < told:
+                break  # all rows of the group are equal in this column
+    return ahead, at, left
+
+
+def page_at(rows: DataFrame, offset: int, size: int, by: tuple[tuple[str, bool], ...] = (("timestamp", True), ("id", True)), most_ranked: int = MOST_RANKED) -> DataFrame:
+    """Rows offset .. offset + size - 1 in the order `by`: those of two groups and what lies between them are sorted."""
+    if (start := place(rows, offset + 1, by, most_ranked)) is None:
         return rows.where(F.lit(False))
-    unit, bucket, left = start or (1, None, 0)
-    if bucket is None:  # the first row asked for is the very last one
-        return rows.orderBy(F.asc(name), F.asc(ties)).limit(1)
-    upper = rows.where(_bucket(name, unit) <= bucket)
-    window = upper if end is None else upper.where(_bucket(name, end[0]) >= end[1])
-    return window.orderBy(F.desc(name), F.desc(ties)).offset(left - 1).limit(size)
+    window, end = rows.where(~start[0]), place(rows, offset + size, by, most_ranked)
+    if end is not None:
+        window = window.where(end[0] | end[1])
+    return window.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in by]).offset(start[2] - 1).limit(size)
 
 
 def numbered(small: DataFrame, *order: Column) -> DataFrame:

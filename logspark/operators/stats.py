@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.labels import SEVERITIES, severity_code
@@ -30,13 +30,18 @@ def top_sources(messages: DataFrame, n: int = 10) -> DataFrame:
     return messages.groupBy(source.alias("hostname")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "hostname").limit(n)
 
 
+def text_bytes() -> Column:
+    """The bytes of the texts of messages, all together."""
+    size = sum((F.octet_length(c) for c in TEXTS[1:]), F.octet_length(TEXTS[0]))
+    return F.coalesce(F.sum(size.cast("long")), F.lit(0))
+
+
 def storage(messages: DataFrame) -> DataFrame:
     """(message_count, text_bytes, oldest) of the messages' texts."""
-    size = sum((F.octet_length(c) for c in TEXTS[1:]), F.octet_length(TEXTS[0]))
-    return messages.agg(F.count("*").alias("message_count"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("text_bytes"), F.min("timestamp").alias("oldest"))
+    return messages.agg(F.count("*").alias("message_count"), text_bytes().alias("text_bytes"), F.min("timestamp").alias("oldest"))
 
 
-def size_text(size_mb):
+def size_text(size_mb: Column) -> Column:
     """A size in megabytes as text in KB, MB or GB."""
     return F.when(size_mb < 1, F.format_string("%.0f KB", size_mb * 1024)).when(size_mb < 1024, F.format_string("%.1f MB", size_mb)).otherwise(F.format_string("%.1f GB", size_mb / 1024))
 

@@ -162,6 +162,8 @@ paging("sort_by_hostname", "hostname desc, id desc", 0, 200, lambda m: query.que
 paging("sort_by_message", "message, id", 0, 200, lambda m: query.query_page(m, size=200, sort_field="message", direction="asc"))
 paging("page_messages", '"timestamp" desc, id desc', 400, 100, lambda m: query.query_page(m, Filter(search="user"), page=5, size=5000), "contains(message, 'user')")
 paging("page_deep", '"timestamp" desc, id desc', 5000, 1000, lambda m: query.query_page(m, page=6, size=1000, deep=0))
+paging("page_deep_hostname", "hostname, id", 3000, 1000, lambda m: query.query_page(m, page=4, size=1000, sort_field="hostname", direction="asc", deep=0))
+paging("page_deep_message", "message desc, id desc", 2000, 500, lambda m: query.query_page(m, page=5, size=500, sort_field="message", deep=0))
 paging("page_regex", "hostname, id", 50, 50, lambda m: query.regex_page(m, Filter(search=r"^\w+ by user 1\d ", mode="regex"), page=2, size=50, sort_field="hostname", direction="asc"), r"regexp_matches(message, '^\w+ by user 1\d ')")
 of_messages("recent_buffer", f"select {_SHOWN_SQL}, row_number() over (order by received_at, seq) as pos from (select * from m order by received_at desc, seq desc limit 3000) where severity <= 4")(lambda m: shown(query.recent(m, Filter(severities=(0, 1, 2, 3, 4)), 3000), "pos"))
 
@@ -183,6 +185,9 @@ of_messages("severity_distribution", "select severity as pos, severity_label, co
 of_messages("top_sources", "select coalesce(nullif(hostname, ''), source_ip) as hostname, count(*) as count from m group by 1 order by 2 desc, 1 limit 10")(stats.top_sources)
 _TEXT_BYTES = " + ".join(f"strlen({c})" for c in stats.TEXTS)
 of_messages("storage_stats", f"""select count(*) as message_count, cast(sum({_TEXT_BYTES}) as bigint) as text_bytes, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') as oldest from m""")(lambda m: stats.storage(m).withColumn("oldest", stamp("oldest")))
+of_messages("storage_size_text", f"select hostname, case when b < 1048576 then printf('%.0f KB', b / 1024.0) when b < 1073741824 then printf('%.1f MB', b / 1048576.0) else printf('%.1f GB', b / 1073741824.0) end as size from (select hostname, sum({_TEXT_BYTES})::double as b from m group by 1 union all select 'all x 1024', sum({_TEXT_BYTES})::double * 1024 from m)")(
+    lambda m: m.groupBy("hostname").agg(stats.text_bytes().alias("b")).unionByName(m.agg((stats.text_bytes() * 1024).alias("b")).withColumn("hostname", F.lit("all x 1024"))).select("hostname", stats.size_text(F.col("b") / (1 << 20)).alias("size"))
+)
 of_messages("capacity_estimate", f"select round(each, 6) as measured_bytes, 560 as fixed_bytes, cast(floor(1000000 * 560 / 1048576.0 + 0.5) as bigint) as fixed_mb, cast(floor(1000000 * each / 1048576 + 0.5) as bigint) as measured_mb, cast(500 * 1048576 // 560 as bigint) as fixed_fit, cast(floor(500 * 1048576 / each) as bigint) as measured_fit, cast(6048000 as bigint) as at_10_a_second, cast(60480000 as bigint) as at_100_a_second from (select sum({_TEXT_BYTES})::double / count(*) as each from m)")(stats.capacity)
 of_messages("buffer_usage", "select least(count(*), 10000) as used, cast(10000 as bigint) as size, cast(floor(least(count(*), 10000) * 100.0 / 10000 + 0.5) as bigint) as percent from m")(stats.buffer_usage)
 of_messages("rate_sliding", "select strftime(w, '%Y-%m-%d %H:%M:%S') as start, count(*) as count, count(*) / 10.0::double as rate from (select unnest(range(date_trunc('second', received_at) - interval 9 second, date_trunc('second', received_at) + interval 1 second, interval 1 second)) as w from m) group by 1")(

@@ -14,8 +14,11 @@ def with_date(messages: DataFrame) -> DataFrame:
     return messages.withColumn("event_date", F.to_date("timestamp"))
 
 
-def append(messages: DataFrame, path: str) -> None:
-    """Messages not in the store yet, by id; only the days that the new ones lie on are looked through."""
+def append(messages: DataFrame, path: str, by_day: bool = False) -> None:
+    """Messages whose ids aren't in the store yet; of new ones that share an id the first.
+
+    by_day: look only through the days that the new ones lie on. That is enough, and cheaper, where an id tells
+    its day: parse() makes ids of the line and its arrival."""
     spark, new = messages.sparkSession, with_date(messages)
     try:
         old = read_store(spark, path)
@@ -24,8 +27,10 @@ def append(messages: DataFrame, path: str) -> None:
             raise
         first_by_id(new).write.partitionBy("event_date").parquet(path)
         return
-    days = new.agg(F.min("event_date"), F.max("event_date")).first()
-    not_yet(new, old.where(F.col("event_date").between(F.lit(days[0]), F.lit(days[1])))).write.mode("append").partitionBy("event_date").parquet(path)
+    if by_day:
+        days = new.agg(F.min("event_date"), F.max("event_date")).first()
+        old = old.where(F.col("event_date").between(F.lit(days[0]), F.lit(days[1])))
+    not_yet(new, old).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, into: str, files_a_day: int = 1) -> None:

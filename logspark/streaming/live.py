@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logspark.functions.parse import parse
 from logspark.operators import alerts, stats
-from logspark.sources.sinks import with_date
+from logspark.sources.sinks import append, with_date
 
 
 def _started(writer, trigger: dict | None) -> StreamingQuery:
@@ -24,8 +24,11 @@ def deduplicated(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Raw lines, parsed, into the store."""
+def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ignore_known: bool = False) -> StreamingQuery:
+    """Raw lines, parsed, into the store. ignore_known: leave out messages whose ids it holds, batch by batch, so that
+    a batch that runs again adds nothing."""
+    if ignore_known:
+        return _started(parse(lines).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append(batch, path, by_day=True)), trigger)
     writer = with_date(parse(lines)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("event_date")
     return _started(writer, trigger)
 

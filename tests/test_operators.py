@@ -37,6 +37,15 @@ def test_deep_page_is_shallow_page(m, page, size):
     assert sorted(deep) == sorted(shallow)
 
 
+@pytest.mark.parametrize("most", [200_000, 7])
+@pytest.mark.parametrize("sort_field,direction", [("timestamp", "asc"), ("severity", "desc"), ("hostname", "asc"), ("message", "desc"), ("protocol", "asc")])
+def test_page_at_any_order(m, sort_field, direction, most):
+    by = query.order_by(sort_field, direction)
+    want = [r.id for r in m.orderBy(*query.order(sort_field, direction)).select("id").collect()]
+    for offset, size in ((0, 10), (497, 20), (990, 50), (1000, 5)):
+        assert sorted(ids(rank.page_at(m.select("id", by[0][0]), offset, size, by, most))) == sorted(want[offset : offset + size])
+
+
 def test_page_bounds():
     assert query.page_bounds(0, 0) == (0, 100) and query.page_bounds(3, 1001) == (200, 100) and query.page_count(0, 10) == 1 and query.page_count(101, 100) == 2
 
@@ -56,6 +65,8 @@ def test_plans(m, spark):
 
 def test_unknown_group_is_empty(m):
     assert groups.summary(m, "nothing").count() == 0
+    none = groups.top_of_each(m, "nothing", 5)
+    assert none.count() == 0 and none.columns == [*m.columns, "key", "pos"]
 
 
 def test_sources_and_rate(spark):
