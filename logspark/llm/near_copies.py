@@ -106,15 +106,19 @@ def near_links(docs: DataFrame, keyed: DataFrame, least: float = SIMILARITY, siz
     return both.select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, groups: DataFrame | None = None) -> DataFrame:
     """The documents of docs without near copies: of each group that links join, the one with the least doc_id stays.
 
-    Texts without words are copies of each other. Of rows that repeat a doc_id one stays. Rows without
+    groups(doc_id, component_id): near-duplicates found otherwise, whose links count too. Texts without words are copies of each other. Of rows that repeat a doc_id one stays. Rows without
     doc_id all stay: nothing names them."""
     named = docs.where("doc_id is not null")
     keyed = checkpointed(_keyed(named, size))
     roots = component_roots(near_links(named, keyed, least, size))
     rooted = keyed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    if groups is not None:  # a group found otherwise is one more node, linked to the groups of its documents
+        both = rooted.join(groups.where("doc_id is not null"), "doc_id").select(F.col("root").alias("u"), F.xxhash64("component_id", F.lit(1)).alias("v"))
+        wider = component_roots(both).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+        rooted = rooted.join(wider, "root", "left").select("doc_id", F.coalesce("wide", "root").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))

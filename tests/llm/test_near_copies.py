@@ -37,3 +37,14 @@ def test_odd_texts(spark):
     kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 6, 7, None, None]))
     assert near_copies.drop_near_copies(kept.limit(0)).count() == 0
+
+
+def test_groups_found_otherwise_join(spark):
+    """A text linked to one copy by shingles and to another by a given group goes with both."""
+    from logspark.llm import near_copies
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(words)), (3, " ".join([*words, "more"])), (1, "something else altogether"), (2, "and another text"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = spark.createDataFrame([(5, 1), (1, 1), (3, 3), (2, 2), (None, 2)], "doc_id long, component_id long")
+    assert sorted(str(r.doc_id) for r in near_copies.drop_near_copies(docs, groups=groups).collect()) == ["1", "2", "None"]
