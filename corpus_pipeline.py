@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import near_copies, packing, quality_divergence, surrogates, unit_dedup
+from logspark.llm import near_copies, packing, quality_divergence, simhash, surrogates, unit_dedup
 from logspark.llm.common import documents, importable, shared_folder
 from logspark.llm.queries import KEY, word_ids
 
@@ -30,9 +30,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least doc_id.
 
-    Near: the sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    Near: SimHash fingerprints of five-word shingles differ in 3 bits or fewer, or the sets of these shingles
+    have a Jaccard similarity of 0.8 or more, which lie about ten bits apart."""
     importable(spark)
-    return near_copies.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs, groups=simhash.near_groups(docs, size=near_copies.SIZE).select("doc_id", "component_id"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
