@@ -220,11 +220,11 @@ def test_surrogates(spark):
     assert other[1].entities[2].surrogate != one.entities[2].surrogate
 
 
-@pytest.mark.parametrize("digits", ["012", "01", "0"])
+@pytest.mark.parametrize("digits", ["01", "0"])
 def test_surrogates_stay_distinct(spark, monkeypatch, digits):
     """With few surrogates to draw from, or fewer than entities, those that collide take later ones."""
     monkeypatch.setattr(surrogates, "ALPHABETS", (("[0-9]", digits), *surrogates.ALPHABETS[1:]))
-    n = 5 if digits == "0" else 400
+    n = 3 if digits == "0" else 150
     rows = [(i, f"id 900-{i // 10 % 10}{i % 10}-55{i // 100}{i % 7} end") for i in range(n)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     found = surrogates.mentions(d)
