@@ -71,5 +71,6 @@ def _cooled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def cooled(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, t in microseconds, seq, id) of fires; the state is the last fire of each rule."""
+    alerts.importable(messages.sparkSession)
     hits = alerts.matches(messages, rules).select("rule_id", F.unix_micros("received_at").alias("t"), "seq", "id", (F.col("cooldown").cast("long") * 1_000_000).alias("c"))
     return hits.groupBy("rule_id").applyInPandasWithState(_cooled, "rule_id string, t long, seq long, id string", "last long", "append", GroupStateTimeout.NoTimeout)
