@@ -52,3 +52,58 @@ with d as (select doc_id, coalesce(text, '') as t, case when lower(lang) in ({_C
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  not base_failed and not ((coalesce(dc, 0) > 0.16 and coalesce(dw, 1) > 0.24) or coalesce(dc, 0) > 0.32) as kept, round(dc, 9) as class_distance, round(dw, 9) as word_distance from e
 """
+
+
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".replace("\\\\", "\\")
+OP11 = f"""
+with d as (select doc_id, {_TERMS.format('text')} as ts from documents where text is not null),
+ c as (select count(*) as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+ q as materialized (select item_id, t, count(*) as k from (select item_id, unnest({_TERMS.format('text')}) as t from benchmark) group by all),
+ f as materialized (select doc_id, t, count(*) as tf, any_value(n) as n from (select doc_id, len(ts) as n, unnest(ts) as t from d) where t in (select t from q) group by all),
+ w as (select t, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)::double))::bigint as w from f, c group by t, c.n),
+ s as (select q.item_id, f.doc_id, sum(q.k * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * f.n * c.n) // c.l))))::bigint as score from q join f using (t) join w using (t), c group by all),
+ r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20
+"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        f"""k as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"p as materialized (select vec_id, label, i as part, v[i * len(v) // {parts} + 1 : (i + 1) * len(v) // {parts}] as x from k, range(0, {parts}) r(i))",
+        f"c0 as materialized (select part, (row_number() over (partition by part order by vec_id) - 1)::int as e, x from p where vec_id in (select vec_id from k order by vec_id limit {entries}))",
+    ]
+    for n in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        steps.append(f"a{n} as materialized (select vec_id, part, min(d) as d, arg_min(e, (d, e)) as e from (select p.vec_id, p.part, c.e, {far} as d from p join c{n} c using (part)) group by vec_id, part)")
+        if n < rounds:
+            mean = "list(floor(m) order by j)"
+            steps.append(f"m{n} as (select part, e, {mean} as x from (select part, e, j, sum(x[j]) // 1 / count(*) as m from (select a{n}.part, a{n}.e, p.x, unnest(range(1, len(p.x) + 1)) as j from a{n} join p using (vec_id, part)) group by part, e, j) group by part, e)")
+            steps.append(f"c{n + 1} as materialized (select c.part, c.e, coalesce(m.x::bigint[], c.x) as x from c{n} c left join m{n} m using (part, e))")
+    last = rounds
+    steps += [
+        f"f as (select vec_id, string_agg(printf('%02x', e::int), '' order by part) as code, sum(d)::bigint as error from a{last} group by vec_id)",
+        "l as (select k.label, sum(f.error)::bigint as label_error from f join k using (vec_id) group by k.label)",
+        f"h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) as codebooks_sha256 from c{last})",
+    ]
+    return "with " + ",\n ".join(steps) + "\nselect f.vec_id, f.code, f.error, l.label_error, h.codebooks_sha256 from f join k using (vec_id) join l on l.label is not distinct from k.label, h"
+
+
+OP12 = _codes_sql()
+
+OP13 = r"""
+with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  ('0x' || substr(md5('13|' || coalesce(doc_id::varchar, chr(1)) || '|' || coalesce(lang, chr(1)) || '|' || coalesce(source, chr(1)) || '|' || coalesce(n_chars::varchar, chr(1)) || '|' || coalesce(md5(text), chr(1))), 1, 15))::bigint as lot from documents),
+ s as (select source, sum(size)::bigint as size, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by source),
+ o as (select *, 2.0 * size as cap, sum(2.0 * size) over b as caps, sum(w) over b as ws, 2.0 * size / w as level from s window b as (order by 2.0 * size / w, source nulls last)),
+ t as (select sum(size) * 1.5::double as total, sum(w) as ws from s),
+ c as (select o.*, (t.total - (o.caps - o.cap)) / (t.ws - (o.ws - o.w)) as open_level from o, t),
+ y as (select max(open_level) as level from c where open_level <= level),
+ p as (select source, size, least(cap, coalesce(w * y.level, cap)) as target from o, y),
+ g as (select source, size, target, least(round(target)::bigint, 2 * size) as want from p),
+ e as (select source, size, target, case when size > 0 then want // size else 0 end as epochs, want - case when size > 0 then want // size else 0 end * size as rest from g),
+ x as (select d.*, e.size as source_size, e.target, e.epochs, e.rest, sum(d.size) over (partition by d.source order by d.lot) as upto, sum(d.size) over (partition by d.source, d.lot) as same from d join e on e.source is not distinct from d.source)
+select doc_id, size, source_size, round(target, 6) as target,
+ (size * epochs + case when upto <= rest then size when upto - same < rest then case when same = size then rest - (upto - same) else floor(size * ((rest - (upto - same)) / same::double)) end else 0 end)::bigint as taken from x
+"""

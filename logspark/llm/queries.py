@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, external_shuffle, imatch, importance, packing, quality_divergence, simhash, surrogates, toxicity, unit_dedup
+from logspark.llm import bpe, external_shuffle, imatch, importance, lexical_rank, mixing, packing, quality_divergence, simhash, surrogates, toxicity, unit_dedup, vector_codes
 from logspark.llm.common import documents, importable, shared_folder
-from logspark.llm.oracle import OP1
+from logspark.llm.oracle import OP1, OP11, OP12, OP13
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.planned(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def _with_workers(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         importable(spark)
@@ -94,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL has none of the other queries' hashes, tokenizers and models."""
-    return {"op1_distribution_divergence": OP1}
+    return {"op1_distribution_divergence": OP1, "op11_lexical_rank": OP11, "op12_vector_codes": OP12, "op13_source_mixing": OP13}
