@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions import labels, parse, render, search
-from logspark.operators import alerts, dedup, filters, groups, query, rank, retention, stats
+from logspark.operators import alerts, dedup, filters, groups, query, rank, retention, stats, textindex
 from logspark.operators.filters import Filter
+from logspark.operators.idindex import IdIndex
 from logspark.plans.messages import MESSAGES_SQL, RULES, lines_of, messages
-from logspark.sources.lines import raw_lines, union_transports
+from logspark.session import exists, new_folder
+from logspark.sources.lines import raw_lines, read_store, union_transports
+from logspark.sources.sinks import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,7 +132,11 @@ _WORDS = " and ".join(f"(contains({_TOK.format('message')}, ' {w}') or contains(
 filtering("search_words", Filter(search='purch* "user-1"', mode="words"), _WORDS)
 
 
+FULL_TEXTS: dict[str, str] = {}
+
+
 def full_text(name: str, text: str, where: str) -> None:
+    FULL_TEXTS[name] = text
     of_documents(name, f"select doc_id, lang from (select doc_id, lang, {_TOK.format('text')} as tok from documents) where {where}")(lambda d: d.where(search.boolean_match(text, ("text",))).select("doc_id", "lang"))
 
 
@@ -145,10 +152,66 @@ of_documents("search_fts_accents", "select doc_id, lang from documents where tex
     lambda d: d.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Tiếng Việt").otherwise(" Ting"))).where(search.boolean_match("tieng AND VIÊ*", ("text",))).select("doc_id", "lang")
 )
 
+# The same searches by a stored index, which the first of them in a session makes of the table
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def indexed(rows: DataFrame, name: str, sf_dir: str, columns: tuple[str, ...], key: str, day: Column | None = None) -> DataFrame:
+    """Postings of rows; kept in the shared folder for the session's next searches."""
+    spark = rows.sparkSession
+    of = (spark.sparkContext.applicationId, name, sf_dir)
+    if of not in _INDEXES or not exists(spark, _INDEXES[of]):
+        path = new_folder(spark, f"postings-{name}")
+        textindex.append(rows, path, columns, key, day)
+        _INDEXES[of] = path
+    return textindex.postings(spark, _INDEXES[of])
+
+
+def full_text_indexed(name: str, text: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return textindex.found_by(docs, indexed(docs, "documents", sf_dir, ("text",), "doc_id"), text, "fts", "doc_id", 1).select("doc_id", "lang")
+
+    QUERIES[f"{name}_indexed"], ORACLE_SQL[f"{name}_indexed"] = run, ORACLE_SQL[name]
+
+
+for _name, _text in FULL_TEXTS.items():
+    full_text_indexed(_name, _text)
+
+
+def of_message_index(name: str, same: str) -> Callable[[Callable[[DataFrame, DataFrame], DataFrame]], None]:
+    """Register a function of the messages and their postings, with the SQL of another query."""
+
+    def register(f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            m = messages(spark, sf_dir)
+            return f(m, indexed(m, "messages", sf_dir, search.BOTH, "id", F.to_date("timestamp")))
+
+        QUERIES[name], ORACLE_SQL[name] = run, ORACLE_SQL[same]
+
+    return register
+
+
+of_message_index("search_words_indexed", "search_words")(lambda m, index: shown(textindex.found_by(m, index, 'purch* "user-1"', "words")))
+
 # Joins, sorting, paging
 
 of_messages("semi_join_hits", f"select {_SHOWN_SQL} from m where regexp_matches(message, 'user 7 ')")(lambda m: shown(query.with_hits(m, m.where(F.col("message").contains("user 7 ")).select("id"))))
 of_messages("insert_or_ignore", f"select {_SHOWN_SQL} from m where seq % 3 <> 0")(lambda m: shown(dedup.not_yet(m.union(m.where("seq % 4 = 0")), m.where("seq % 3 = 0"))))
+of_message_index("semi_join_hits_indexed", "semi_join_hits")(lambda m, index: shown(query.with_hits(m, textindex.hits(index, search.boolean_query('"user 7"')))))
+
+
+def appended(m: DataFrame) -> DataFrame:
+    """What a second append to a store adds: ids of the first, and repeated ones, are left out by the index."""
+    spark = m.sparkSession
+    path, index = new_folder(spark, "store"), IdIndex(spark, new_folder(spark, "ids"), 8)
+    append(m.where("seq % 3 = 0"), path, index=index)
+    append(m.union(m.where("seq % 4 = 0")), path, index=index)
+    return read_store(spark, path).where("seq % 3 <> 0")
+
+
+of_messages("insert_or_ignore_indexed", ORACLE_SQL["insert_or_ignore"].removeprefix(MESSAGES_SQL))(lambda m: shown(appended(m)))
 of_messages("dedup_by_id", f"select {_SHOWN_SQL}, seq from m")(lambda m: shown(dedup.first_by_id(m.union(m.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))), "seq"))
 of_messages("count_filtered", "select count(*) as total from m where severity <= 4 and contains(hostname, 'host-1')")(lambda m: query.count_filtered(m, Filter(severities=(0, 1, 2, 3, 4), hostname="host-1")))
 

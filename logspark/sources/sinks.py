@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logspark.functions.render import export_lines, export_rows
 from logspark.operators.dedup import first_by_id, not_yet
+from logspark.operators.idindex import IdIndex
+from logspark.session import exists, get_json, new_folder, put_json, remove
 from logspark.sources.lines import read_store
 
 
@@ -14,12 +16,15 @@ def with_date(messages: DataFrame) -> DataFrame:
     return messages.withColumn("event_date", F.to_date("timestamp"))
 
 
-def append(messages: DataFrame, path: str, by_day: bool = False) -> None:
+def append(messages: DataFrame, path: str, by_day: bool = False, index: IdIndex | None = None) -> None:
     """Messages whose ids aren't in the store yet; of new ones that share an id the first.
 
-    by_day: look only through the days that the new ones lie on. That is enough, and cheaper, where an id tells
-    its day: parse() makes ids of the line and its arrival."""
+    index: look for ids there, see there; else in the store. by_day: look only through the days that the new ones lie on.
+    That is enough, and cheaper, where an id tells its day: parse() makes ids of the line and its arrival."""
     spark, new = messages.sparkSession, with_date(messages)
+    if index is not None:
+        _append_indexed(new, path, index)
+        return
     try:
         old = read_store(spark, path)
     except Exception as e:  # noqa: BLE001
@@ -28,11 +33,31 @@ def append(messages: DataFrame, path: str, by_day: bool = False) -> None:
         first_by_id(new).write.partitionBy("event_date").parquet(path)
         return
     if by_day:
-        days = new.agg(F.min("event_date"), F.max("event_date")).first()
-        old = old.where(F.col("event_date").between(F.lit(days[0]), F.lit(days[1])))
+        days = [r[0] for r in new.select("event_date").distinct().collect()]
+        old = old.where(F.col("event_date").isin(days))
     not_yet(new, old).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def _append_indexed(new: DataFrame, path: str, index: IdIndex) -> None:
+    """Store first, index second; a note tells of an append between the two, whose days the next one takes up from the store."""
+    spark, note = new.sparkSession, f"{index.path}/pending.json"
+    if exists(spark, note):
+        days = get_json(spark, note)
+        stored = read_store(spark, path).where(F.col("event_date").cast("string").isin(days)).select("id", "event_date") if exists(spark, path) else None
+        if stored is not None:
+            index.add(stored.join(index.known(stored), "id", "left_anti"))
+        remove(spark, note)
+    beside = new_folder(spark, "appended")
+    first = first_by_id(new)
+    first.join(index.known(first), "id", "left_anti").select(new.columns).write.parquet(beside)
+    fresh = spark.read.schema(new.schema).parquet(beside)
+    put_json(spark, note, [str(r[0]) for r in fresh.select("event_date").distinct().collect()])
+    fresh.write.mode("append").partitionBy("event_date").parquet(path)
+    index.add(fresh.select("id", "event_date"))
+    remove(spark, note)
+    remove(spark, beside)
+
+
 def compact(spark: SparkSession, path: str, into: str, files_a_day: int = 1) -> None:
     """The store with few files a day, written to another place; a day's rows are spread by id."""
     rows = read_store(spark, path)
