@@ -110,7 +110,7 @@ def parse(lines: DataFrame) -> DataFrame:
     severity, facility = F.when(known, F.col("pri") % 8).otherwise(5), F.when(known, F.floor(F.col("pri") / 8).cast("int")).otherwise(1)
     content = F.sha2(F.concat_ws("\x1f", "source_ip", "protocol", F.unix_micros("received_at").cast("string"), "raw_message", F.col("seq").cast("string")), 256)
     columns = {
-        "id": F.col("id") if own else content,
+        "id": F.coalesce("id", content) if own else content,
         "timestamp": F.coalesce(by_kind(rfc3339(F.get("parts", F.lit(1))), F.coalesce("t15", "t14"), received), received),
         "severity": severity.cast("int"), "severity_label": severity_label(severity.cast("int")), "facility": facility.cast("int"), "facility_label": facility_label(facility.cast("int")),
         "hostname": by_kind(field(2), F.col("old_host"), empty), "app_name": by_kind(field(3), F.col("app"), empty), "proc_id": by_kind(field(4), F.col("proc"), empty), "msg_id": by_kind(field(5), empty, empty),

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logspark.functions.parse import parse
-from logspark.operators import alerts, stats
+from logspark.operators import alerts, stats, textindex
+from logspark.operators.idindex import IdIndex
 from logspark.sources.sinks import append, with_date
 
 
@@ -24,13 +25,21 @@ def deduplicated(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ignore_known: bool = False) -> StreamingQuery:
+def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ignore_known: bool = False, ids: IdIndex | None = None, postings: str | None = None) -> StreamingQuery:
     """Raw lines, parsed, into the store. ignore_known: leave out messages whose ids it holds, batch by batch, so that
-    a batch that runs again adds nothing."""
-    if ignore_known:
-        return _started(parse(lines).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append(batch, path, by_day=True)), trigger)
-    writer = with_date(parse(lines)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("event_date")
-    return _started(writer, trigger)
+    a batch that runs again adds nothing; ids: the same by an index of ids. postings: keep the full-text index there too."""
+    if not (ignore_known or ids or postings):
+        writer = with_date(parse(lines)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("event_date")
+        return _started(writer, trigger)
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        if postings:  # first: postings of messages that aren't stored do no harm, and may be written twice
+            textindex.append(batch, postings, day=F.to_date("timestamp"))
+        append(batch, path, by_day=True, index=ids)
+        batch.unpersist()
+
+    return _started(parse(lines).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each), trigger)
 
 
 def rates(messages: DataFrame, seconds: int = 10, step: int = 1, delay: str = "1 minute") -> DataFrame:
