@@ -169,3 +169,31 @@ def test_notification(spark):
 def test_empty_messages(m):
     none = m.limit(0)
     assert rank.newest(none, 5).count() == 0 and query.query_page(none).count() == 0 and stats.storage(none).first().message_count == 0 and alerts.fired(hits(none)).count() == 0
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_spans_of_odd_values(spark, m, down, monkeypatch):
+    """Common beginnings, nulls, ties of any number: few passes, exact ranks."""
+    monkeypatch.setattr(rank, "SAMPLE", 60)
+    draw = random.Random(4)
+    rows = [(None if draw.random() < 0.1 else "common beginning of many a message, " * 3 + draw.choice(["a", "ab", "ü", "z"]) * draw.randint(0, 3), i // 2) for i in range(2000)]
+    d = spark.createDataFrame(rows, "v string, k long").repartition(3)
+    by = (("v", down), ("k", down))
+    want = [tuple(r) for r in d.orderBy(*rank.ordered(by)).collect()]
+    for offset, size in ((0, 5), (900, 40), (1995, 20), (3000, 5)):
+        got = [tuple(r) for r in rank.page_at(d, offset, size, by, 5).collect()]
+        assert got == want[offset : offset + size]
+
+
+def test_deep_page_takes_few_jobs(spark):
+    """Texts that share their first 120 letters."""
+    d = spark.range(60_000).select(F.concat(F.lit("x" * 120), F.sha2(F.col("id").cast("string"), 256)).alias("message"), F.col("id").cast("string").alias("id")).cache()
+    d.count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "page by text")
+    try:
+        got = rank.page_at(d, 30_000, 10, (("message", False), ("id", False)), 1000).collect()
+        assert len(tracker.getJobIdsForGroup("deep")) < 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.id for r in got] == [r.id for r in d.orderBy("message", "id").offset(30_000).limit(10).collect()]
