@@ -2,9 +2,10 @@
 
 The first pass sends each record to a bucket by seeded hashes: the shard by rendezvous hashing of its
 key, so that one more shard takes records only into itself, and within the shard a bucket of about
-`bucket_bytes`. The second pass draws a keyed random rank for every record of a bucket, sorts the bucket
-by it and writes it: as uniform as Fisher-Yates. Spark's own Fisher-Yates, shuffle(), is seeded by the
-number of the physical partition, so the same table would come out in other orders under other plans.
+`bucket_bytes`. The second pass is a Fisher-Yates shuffle of each bucket: its records are numbered in the order of
+their hashes, shuffle() draws a permutation of the numbers, and the records are put in that order and written. Only
+numbers are held in memory, records are sorted and may spill. shuffle() is seeded by the number of the partition, and bucket k
+is dealt to partition k by number, so the order depends on the bucket alone, whatever the plan.
 Built-in functions only; whole records are shuffled once.
 """
 
@@ -13,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logspark.llm.common import checkpointed
+
 ADDED = ("shard", "bucket", "slot", "grown_shard")
+MOST_PARTS = 20_000  # partitions; more buckets than that share them, one after the other
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -22,7 +26,7 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(each)["s"]
 
 
-def shuffled(records: DataFrame, key: str, size: str | Column, shards: int = 16, seed: int = 7, bucket_bytes: int = 8 << 20) -> DataFrame:
+def shuffled(records: DataFrame, key: str, size: str | Column, shards: int = 16, seed: int = 7, bucket_bytes: int = 64 << 20) -> DataFrame:
     """records with shard, bucket, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
 
     size: a record's bytes. The order within a shard is uniformly random and depends on the seed and the
@@ -36,17 +40,20 @@ def shuffled(records: DataFrame, key: str, size: str | Column, shards: int = 16,
     packed = records.select(F.struct(*own).alias("row"), F.xxhash64(F.lit(seed), *own).alias("lot"))
     dealt, repeated = _dealt(packed, buckets)
     keyed = dealt.withColumn("shard", shard_of(F.col("row")[key], shards, seed))
-    sizes = keyed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    scattered = keyed.repartition(min(shards * buckets, 20_000), "shard", "bucket")
+    keyed = keyed.withColumn("gid", (F.col("shard") * buckets + F.col("bucket")).cast("int"))
+    parts = min(shards * buckets, MOST_PARTS)
+    sizes = checkpointed(keyed.groupBy("gid", "shard").agg(F.sum("copies").alias("n")))  # a row for each bucket
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("gid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("gid", "n", F.coalesce(before, F.lit(0)).alias("start"))
+    drawn = starts.repartitionById(parts, "gid").sortWithinPartitions("gid")
+    drawn = drawn.select("gid", "start", F.posexplode(F.shuffle(F.sequence(F.lit(1), F.col("n").cast("int")), seed)).alias("at", "i"))
+    scattered = keyed.repartitionById(parts, "gid")
     if repeated:
         scattered = scattered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     else:
         scattered = scattered.withColumn("copy", F.lit(1))
-    rank, tie = (F.xxhash64("lot", F.lit(k), "copy") for k in (seed + 1, seed + 2))
-    at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(rank, tie))
-    mixed = scattered.withColumn("at", at - 1).join(starts, ["shard", "bucket"])
+    numbered = scattered.withColumn("i", F.row_number().over(Window.partitionBy("gid").orderBy("lot", "copy")))
+    mixed = numbered.join(drawn, ["gid", "i"])
     added = {"slot": F.col("start") + F.col("at"), "grown_shard": shard_of(F.col("row")[key], shards + 1, seed)}
     return mixed.withColumns(added).select("row.*", *ADDED)
 
@@ -69,7 +76,7 @@ def _dealt(packed: DataFrame, buckets: int) -> tuple[DataFrame, bool]:
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """A folder for each shard and in it one for each bucket, whose one file holds its records in the order of their slots.
+    """A folder for each shard, and in it a file for each bucket, which holds its records in the order of their slots.
 
-    A bucket lies in one task already, in this order: nothing is shuffled again."""
-    placed.write.partitionBy("shard", "bucket").parquet(path)
+    A bucket lies in one task already: nothing is shuffled again, only sorted within."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

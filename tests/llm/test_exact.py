@@ -168,7 +168,27 @@ def test_packing_round_trip(spark, odd):
     assert packing.packed(packing.token_pieces(odd.limit(0), path)).count() == 0
 
 
-def brute_shuffle(rows, columns, shards=16, seed=7, bucket_bytes=8 << 20):
+def fisher_yates(n, seed):
+    """The shuffle of 0 .. n - 1 from the front, drawn from a Mersenne twister with a 64-bit seed, 31 bits a draw."""
+    twister = np.random.RandomState([seed >> 32, seed & 0xFFFFFFFF])
+
+    def below(k):
+        while True:
+            bits = int(twister.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+            if k & (k - 1) == 0:
+                return k * bits >> 31
+            if bits - bits % k + k - 1 < 1 << 31:
+                return bits % k
+
+    out = []
+    for i in range(n):
+        j = below(i + 1)
+        out.append(i)
+        out[i], out[j] = out[j], i
+    return out
+
+
+def brute_shuffle(rows, columns, shards=16, seed=7, bucket_bytes=64 << 20):
     """Slots of (doc_id, text, ...) rows, worked out bucket by bucket from the hashes alone."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -188,11 +208,14 @@ def brute_shuffle(rows, columns, shards=16, seed=7, bucket_bytes=8 << 20):
         lot = signed(spark_hash(in_int(seed), *p))
         k = seen[r] = seen.get(r, -1) + 1
         bucket, copy = (lot % buckets + k % buckets) % buckets, k // buckets + 1
-        rank, tie = (signed(spark_hash(in_long(lot), in_int(s), in_int(copy))) for s in (seed + 1, seed + 2))
-        held.setdefault((shard(r[0], shards), bucket), []).append((rank, tie, r))
+        held.setdefault((shard(r[0], shards), bucket), []).append((lot, copy, r))
     for s in range(shards):
-        every = [x for k in sorted(held) if k[0] == s for x in sorted(held[k], key=lambda x: x[:2])]
-        out += [(*r, s, slot, shard(r[0], shards + 1)) for slot, (_, _, r) in enumerate(every)]
+        slot = 0
+        for b in range(buckets):
+            of = sorted(held.get((s, b), []), key=lambda x: x[:2])
+            for i in fisher_yates(len(of), seed + s * buckets + b):
+                out.append((*of[i][2], s, slot, shard(of[i][2][0], shards + 1)))
+                slot += 1
     return sorted(out, key=str)
 
 
