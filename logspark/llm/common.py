@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.session import checkpointed, importable, remove, shared_folder  # noqa: F401  for the modules of this subpackage
+
 #: The six ASCII blanks that part words; a word is a run of anything else.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where the setting is absent, that of the context;
-    where that is too, a temporary one on a local master and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Takes a written table away again, in whatever store it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def spare_prefix(df: DataFrame) -> str:
     """What no column of df begins with, for the names of helper columns."""
     prefix = "__"
@@ -76,14 +51,6 @@ def batches(frames: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield frame.slice(at, rows)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package from where the driver did."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
 class Seen(dict):
     """Ids by word, in two generations: when the young one is full it becomes the old one, and whatever is
     used of that moves back. Words in neither are noted and stand for no ids meanwhile."""

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm.common import batches, checkpointed, utf8
+from logspark.operators import rank
 
 BUCKETS = 10_000
 NO_ID = -(1 << 63)  # stands for a null doc_id: it is the least
@@ -77,32 +78,17 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> Da
 
 
 def least_of_top(values: DataFrame, k: int, fits: int = 50_000) -> tuple[float, int] | None:
-    """The k-th largest (key, doc_id) of values, or None for all. Quantiles narrow down where it lies, first
-    by key, among equal keys by doc_id, until so few rows are left that one task may sort them; the answer is exact."""
-    size = values.count()
-    if k >= size:
+    """The k-th largest (key, doc_id) of values, or None for all: exact counts between sampled splitters cut it out, until so few
+    rows are left that one task may sort them. Ties of any number make no difference."""
+    if k >= values.count():
         return None
-    part, left = values.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), k
-    for name in ("key", "doc_id"):
-        while size > fits:
-            share = 1 - left / size
-            low, high = part.agg(F.percentile_approx(name, [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0]
-            over = part.where(F.col(name) > high).count()
-            inner = part.where(F.col(name).between(low, high))
-            found = inner.count()
-            if left <= over:
-                part, size = part.where(F.col(name) > high), over
-            elif left <= over + found:
-                part, left, same = inner, left - over, size == found
-                size = found
-                if same or low == high:
-                    break
-            else:
-                part, left, size = part.where(F.col(name) < low), left - over - found, size - over - found
-    if size > fits:  # equal in both, however many
-        last = part.first()
+    part, by = values.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), (("key", True), ("doc_id", True))
+    span = rank.span_of(part, k, k, by, fits)
+    inside = part.where(rank.within(part, by, span))
+    if span.size > fits:  # equal in both, however many
+        last = inside.first()
     else:
-        last = part.orderBy(F.desc("key"), F.desc("doc_id")).limit(left).agg(F.min(F.struct("key", "doc_id")).alias("x")).first().x
+        last = inside.orderBy(*rank.ordered(by)).limit(k - span.skipped).agg(F.min(F.struct("key", "doc_id")).alias("x")).first().x
     return last.key, None if last.doc_id == NO_ID else last.doc_id
 
 
