@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import nlargest
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -36,25 +37,37 @@ _BARE = re.compile(r"^[\W_]+|[\W_]+$")
 _UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
 _AGAIN = re.compile(r"(\S)\1{3,}")
 LOOK_COST, DROP_COST, REPEAT_COST, WIDE_COST = 1.5, 1.0, 0.4, 3.0
-STRETCH = 512  # characters after which the best path so far is taken for good
-LAST_LETTER = "\u058f"  # letters up to here, of Latin, Greek, Cyrillic and Armenian, are what the channel is about
+STRETCH = 512  # characters after which what all live paths share is written out
+LETTER_BUCKETS = 1 << 19  # of hashed trigrams, of any script: the model is as large whatever the corpus
+FEWEST = 7
+LEAST_JOINED = 4  # letters of a word that is looked for in pieces
 SAMPLE = 12_000  # labelled texts the weights are fitted on, at most
 PRIOR = 4
 START = "^^"
 
 
+def _bucket(gram: str) -> int:
+    return crc32(gram.encode("utf-8", "surrogatepass")) % LETTER_BUCKETS
+
+
 class Letters:
-    """Trigram model of letters, with words' beginnings and ends, by counts of trigrams."""
+    """Trigram model of letters of any script, with words' beginnings and ends, by hashed counts of trigrams."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.tri, self.bi = dict(counts), {}
-        for k, n in counts.items():
-            self.bi[k[:2]] = self.bi.get(k[:2], 0) + n
+    def __init__(self, counts: dict[str, int] | None = None, tri: np.ndarray | None = None, bi: np.ndarray | None = None):
+        self.tri, self.bi = (np.zeros(LETTER_BUCKETS) if x is None else x for x in (tri, bi))
         self.seen: dict[str, float] = {}
+        for k, n in (counts or {}).items():
+            self.add(k, n)
+
+    def add(self, gram: str, n: float) -> None:
+        self.tri[_bucket(gram)] += n
+        self.bi[_bucket(gram[:2])] += n
 
     def cost(self, two: str, c: str) -> float:
         if (x := self.seen.get(two + c)) is None:
-            x = self.seen[two + c] = -math.log((self.tri.get(two + c, 0) + 0.05) / (self.bi.get(two, 0) + 0.05 * 40))
+            if len(self.seen) >= 1_000_000:
+                self.seen.clear()
+            x = self.seen[two + c] = -math.log((self.tri[_bucket(two + c)] + 0.05) / (self.bi[_bucket(two)] + 0.05 * 40))
         return x
 
 
@@ -90,14 +103,14 @@ def ways(c: str, before: str) -> tuple[list[tuple[str, float]], float | None, fl
 
 
 def restore(written: str, letters: Letters) -> str:
-    """The likeliest plain words behind folded characters: the cheapest path through their lattice.
+    """The likeliest plain words behind folded characters: the cheapest path through their lattice, of any length.
 
     A state is the last two letters of the word it is in. Characters that stand more than three times in a row
-    count as three. Paths share their beginnings; every STRETCH characters the cheapest is taken for good."""
-    best: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
+    count as three. Paths are links back from their last letters and share their beginnings; what all share is written out on the way."""
+    best: dict[str, tuple[float, tuple | None]] = {START: (0.0, None)}
     before, done = "", []
     for i, c in enumerate(re.findall(r"\s+|\S", _AGAIN.sub(r"\1\1\1", written))):
-        into: dict[str, tuple[float, tuple]] = {}
+        into: dict[str, tuple[float, tuple | None]] = {}
         found, drop, end = ways(c, before)
         for two, (cost, out) in best.items():
             for x, extra in found:
@@ -110,21 +123,59 @@ def restore(written: str, letters: Letters) -> str:
                 into[START] = (total, (out, " "))
         best, before = into or best, c
         if i % STRETCH == STRETCH - 1:
-            two, (cost, out) = min(best.items(), key=lambda kv: (kv[1][0], kv[0]))
-            done += _letters_of(out)
-            best = {two: (cost, ())}
+            told, best = _settled(best)
+            done += told
     _, two = min((cost + (letters.cost(two, "$") if two != START else 0.0), two) for two, (cost, _) in best.items())
     return "".join([*done, *_letters_of(best[two][1])]).strip()
 
 
-def _letters_of(out: tuple) -> list[str]:
+def _settled(best: dict[str, tuple[float, tuple | None]]) -> tuple[list[str], dict[str, tuple[float, tuple | None]]]:
+    """The letters with which all live paths begin, and the paths without them."""
+    ends, chain = [out for _, out in best.values()], []
+    node = ends[0]
+    while node is not None:
+        chain.append(node)
+        node = node[0]
+    place = {id(n): len(chain) - k for k, n in enumerate(chain)}
+    shared = len(chain)
+    for out in ends[1:]:
+        while out is not None and id(out) not in place:
+            out = out[0]
+        shared = min(shared, 0 if out is None else place[id(out)])
+    if not shared:
+        return [], best
+    last = chain[len(chain) - shared]
+
+    def rest(out: tuple | None) -> tuple | None:
+        tail, new = [], None
+        while out is not last:
+            tail.append(out[1])
+            out = out[0]
+        for x in reversed(tail):
+            new = (new, x)
+        return new
+
+    return _letters_of(last), {two: (cost, rest(out)) for two, (cost, out) in best.items()}
+
+
+def _letters_of(out: tuple | None) -> list[str]:
     found = []
-    while out:
+    while out is not None:
         out, x = out
         found.append(x)
     return found[::-1]
 
 
+#: What a character looks like, one letter for all that may be taken for each other; parters look like nothing.
+_SHAPE = {ord(c): x[0].replace("l", "i") for c, x in LOOKS.items() if len(x) < 3} | {ord("l"): "i"} | dict.fromkeys(map(ord, PARTERS))
+_TWICE = re.compile(r"(.)\1+")
+
+
+def shape(word: str) -> str:
+    """A folded word by what its characters look like, letters that are repeated once: equal for all that may be the same word."""
+    return _TWICE.sub(r"\1", word.translate(_SHAPE))
+
+
 def plain_words(text: str) -> set[str]:
     """Distinct folded words of a text, without what surrounds them."""
     return {_ENDS.sub("", w) for w in set(folded(text).split())} - {""}
@@ -153,6 +204,8 @@ class Model:
         odds = math.log(base / (1 - base))
         self.base, self.letters, self.weights = base, letters, weights or (odds, 1.0, 0.0, 0.0, 0.0, 0.0)
         self.gains = {k: math.log(v / (1 - v)) - odds for k, v in shares.items()}
+        self.whole = {shape(k) for k, g in self.gains.items() if g > 0 and k.isalpha() and len(k) >= LEAST_JOINED}
+        self.begun = {w[:k] for w in self.whole for k in range(1, len(w))}
 
     def gain(self, word: str) -> float:
         """By how much a folded word, or what it is restored to, raises the log odds of a toxic text; 0 if it tells nothing."""
@@ -167,15 +220,39 @@ class Model:
         return max((self.gains.get(f, 0.0) for w in forms for f in features(w)), default=0.0)
 
 
+def pieces(words: list[str], gains: _Gains) -> Iterator[str]:
+    """Neighbouring words that together look like one that tells, in the order of the text."""
+    shapes, begun, whole = gains.shapes, gains.model.begun, gains.model.whole
+    for i in [i for i, w in enumerate(words) if shapes[w] in begun]:
+        s, j = shapes[words[i]], i + 1
+        while s in begun and j < len(words):
+            more = shapes[words[j]]
+            s, j = s + (more[1:] if more[:1] == s[-1] else more), j + 1
+            if s in whole:
+                yield " ".join(words[i:j])
+
+
 def traits(text: str, gains: _Gains) -> list[float]:
-    """1, the three largest gains of the text's distinct words, the sum of all, and the logarithm of their number."""
+    """1, the three largest gains of the text's distinct words, the sum of all, and the logarithm of their number. A text counts
+    as if it had FEWEST words or more: that an empty one has none isn't taken as telling.
+
+    Words in pieces are decoded together, runs of single characters and neighbours that look like a word that tells, and count as what they are read as."""
     low = folded(text)
-    words = set(low.split())
-    for m in SPACED.finditer(low):
-        if any(map(str.isalpha, m[0])):
-            words.update(restore(m[0], gains.model.letters).split())
+    written = low.split()
+    words = set(written)
+    runs = [m[0] for m in SPACED.finditer(low) if any(map(str.isalpha, m[0]))]
+    whole = [*pieces(written, gains)]
+    if runs or whole:
+        times = Counter(written)
+        for run in [*runs, *whole]:
+            read = restore(run, gains.model.letters).split()
+            if read != run.split():  # its pieces aren't words, unless they stand elsewhere too
+                times.subtract(run.split())
+            words.update(read)
+        words -= {w for w, n in times.items() if n <= 0 and w not in gains.model.gains}
     every = [*map(gains.__getitem__, words), 0.0, 0.0, 0.0]
-    return [1.0, *nlargest(3, every), math.fsum(every), math.log1p(len(words))]
+    total = math.fsum(every)
+    return [1.0, *nlargest(3, every), math.fsum(every), math.log1p(max(FEWEST, len(words)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -187,32 +264,45 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def letter_counts(docs: DataFrame) -> dict[str, int]:
-    """How often each trigram of letters comes up in the words of all texts(text), summed by Spark.
+def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashed trigrams and bigrams of letters in the words of all texts(text), and the number of words, summed by Spark.
 
-    Words of letters up to LAST_LETTER count; what reaches the driver are the distinct trigrams, all of them."""
+    Words of any script count; what reaches the driver is a number for each bucket."""
 
     def counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
-
-        def summed() -> pa.RecordBatch:
-            tri: dict[str, int] = {}
-            for w, n in words.items():
-                if w.isalpha() and max(w) <= LAST_LETTER:
-                    for k in trigrams(w):
-                        tri[k] = tri.get(k, 0) + n
+        total, n = np.zeros(2 * LETTER_BUCKETS, np.int64), 0
+
+        def add() -> int:
+            tri: Counter[str] = Counter()
+            for w, k in words.items():
+                if w.isalpha():
+                    for g in trigrams(w):
+                        tri[g] += k
+            for g, k in tri.items():
+                total[_bucket(g)] += k
+                total[LETTER_BUCKETS + _bucket(g[:2])] += k
+            known = sum(k for w, k in words.items() if w.isalpha())
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(tri.keys(), pa.string()), pa.array(tri.values(), pa.int64())], ["k", "n"])
+            return known
 
         for frame in batches(frames):
             for text in frame.column(0).to_pylist():
                 words.update(text.lower().split())
             if len(words) > 300_000:
-                yield summed()
-        yield summed()
+                n += add()
+        n += add()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int64()), pa.array(np.r_[total[at], n], pa.int64())], ["k", "n"])
 
-    found = docs.select("text").where("text is not null").mapInArrow(counted, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return {r.k: r.n for r in found.collect()}
+    found = docs.select("text").where("text is not null").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    grams, n = np.zeros(2 * LETTER_BUCKETS), 0
+    for r in found.toLocalIterator():
+        if r.k < 0:
+            n = r.n
+        else:
+            grams[r.k] = r.n
+    return grams[:LETTER_BUCKETS], grams[LETTER_BUCKETS:], n
 
 
 def fit(sample: DataFrame, docs: DataFrame) -> Model:
@@ -234,19 +324,19 @@ def fit(sample: DataFrame, docs: DataFrame) -> Model:
     part = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(10))
     counting, weighing = sample.where(part < 7), sample.where(part >= 7)
     totals = counting.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    base = ((totals.t or 0) + 0.5) / (totals.n + 1)
+    base = ((totals.t or 0) + 0.5) / (totals.n + 2)
     sums = counting.mapInArrow(counted, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     # As if seen in PRIOR more texts of the base share; what isn't twice as toxic as the base tells nothing.
     share = (F.col("t") + PRIOR * base) / (F.col("n") + PRIOR)
     words = sums.where("t >= 2").select("feature", share.alias("share")).where(F.col("share") > min(0.5, 2 * base))
     shares = {r.feature: r.share for r in words.collect()}  # words of a bounded sample
-    counts = letter_counts(docs)
-    bonus = 1 + sum(n for k, n in counts.items() if k.startswith(START)) // 6000
+    tri, bi, n = letter_counts(docs)
+    letters, bonus = Letters(None, tri, bi), 1 + n // 6000
     for word, p in shares.items():  # words that tell are as good as frequent ones
         if not word.endswith("*") and word.isalpha() and p > 0.5:
             for k in trigrams(word):
-                counts[k] = counts.get(k, 0) + bonus
-    model = Model(base, shares, Letters(counts))
+                letters.add(k, bonus)
+    model = Model(base, shares, letters)
     held = weighing.mapInArrow(_traits_of(model), "toxic int, traits array<double>").collect()  # six numbers of each text of a bounded sample
     y = np.array([r.toxic for r in held], float)
     if y.size and 0 < y.sum() < y.size:
@@ -268,7 +358,7 @@ class _Gains(dict):
     """model.gain of words, kept up to a bound."""
 
     def __init__(self, model: Model, most: int = 500_000):
-        self.model, self.most = model, most
+        self.model, self.most, self.shapes = model, most, _Shapes()
 
     def __missing__(self, word: str) -> float:
         x = self.model.gain(word)
@@ -279,6 +369,18 @@ class _Gains(dict):
         return x
 
 
+class _Shapes(dict):
+    """shape() of words, kept up to a bound."""
+
+    def __missing__(self, word: str) -> str:
+        x = shape(word)
+        if len(word) <= 100:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = x
+        return x
+
+
 def score(text: str, gains: _Gains) -> float:
     """Probability of a toxic text."""
     z = sum(w * x for w, x in zip(gains.model.weights, traits(text, gains)))

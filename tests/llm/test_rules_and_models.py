@@ -316,6 +316,84 @@ def test_viterbi_takes_the_cheapest_path():
         assert min(cost for cost, out in every_path(tokens, letters) if out.strip() == got) <= least + 1e-9, word
 
 
+def cheapest(tokens, letters):
+    """Cost of the cheapest path and the words on it, from a table of back-pointers: another decoder."""
+    table = [{"^^": (0.0, None, "")}]
+    before = ""
+    for c in tokens:
+        found, drop, end = toxicity.ways(c, before)
+        row = {}
+        for two, (cost, _, _) in table[-1].items():
+            steps = [(cost + extra + letters.cost(two, x), two[1] + x, x) for x, extra in found]
+            steps += [(cost + drop, two, "")] if drop is not None else []
+            steps += [(cost + end + letters.cost(two, "$"), "^^", " ")] if end is not None and two != "^^" else []
+            for total, to, x in steps:
+                if to not in row or total < row[to][0]:
+                    row[to] = (total, two, x)
+        table.append(row or table[-1])
+        before = c
+    last = min((cost + (letters.cost(two, "$") if two != "^^" else 0.0), two) for two, (cost, _, _) in table[-1].items())
+    return last[0]
+
+
+def cost_of(words, tokens, letters):
+    """The cheapest way in which the tokens can be read as these words."""
+    best, before = {(0, "^^"): 0.0}, ""
+    for c in tokens:
+        found, drop, end = toxicity.ways(c, before)
+        into = {}
+        for (n, two), cost in best.items():
+            steps = [(cost + extra + letters.cost(two, x), (n + 1, two[1] + x)) for x, extra in found if words[n : n + 1] == x]
+            steps += [(cost + drop, (n, two))] if drop is not None else []
+            if end is not None and two != "^^" and (words[n : n + 1] == " " or n == len(words)):
+                steps.append((cost + end + letters.cost(two, "$"), (min(n + 1, len(words)), "^^")))
+            for total, to in steps:
+                into[to] = min(total, into.get(to, np.inf))
+        best, before = into, c
+    return min(cost + (letters.cost(two, "$") if two != "^^" else 0.0) for (n, two), cost in best.items() if n >= len(words))
+
+
+@pytest.mark.parametrize("stretch", [3, 512])
+def test_long_runs_are_decoded_exactly(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    pick, counts = random.Random(5), Counter(k for w in "idiot then there word lies a i so".split() * 20 for k in toxicity.trigrams(w))
+    letters = toxicity.Letters(counts)
+    for n in (40, 700, 1500):
+        text = "".join(pick.choice("idotaehrw1!0@*.- ") for _ in range(n)).strip()
+        text = re.sub(r"(\S)\1{3,}", r"\1\1\1", text)
+        tokens = re.findall(r"\s+|\S", text)
+        assert cost_of(toxicity.restore(text, letters), tokens, letters) == pytest.approx(cheapest(tokens, letters))
+
+
+def test_letters_of_every_script(spark):
+    """Words of any script teach the model: what it has seen costs less than the same letters astray."""
+    words = ["привет", "שלום", "سلام", "ไทยดี", "你好吗", "hello"]
+    docs = spark.createDataFrame([(" ".join(words),)] * 50 + [(None,), ("",)], "text string")
+    tri, bi, n = toxicity.letter_counts(docs)
+    assert n == 50 * sum(w.isalpha() for w in words) and bi.sum() == tri.sum()
+    letters = toxicity.Letters(None, tri, bi)
+    cost = lambda w: sum(letters.cost(k[:2], k[2]) for k in toxicity.trigrams(w))
+    for w in (w for w in words if w.isalpha()):
+        assert cost(w) < cost(w[::-1]) - 3, w
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_fitted_models_call_harmless_texts_harmless(spark, sf):
+    folder = SF_DIR.replace("0.001", sf)
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(toxicity.labelled(docs, labels, part != 0), docs)
+    gains = toxicity._Gains(model)
+    for text in ("", "  ", "\n", "hello", "a", "0", "fine day", "...", "thank you very much"):
+        assert toxicity.score(text, gains) < 0.2, text
+    idiot = toxicity.score("idiot", gains)
+    assert idiot > 0.5
+    for text in ("id iot", "i d iot", "1d 10t", "idi-ot", "id\niot"):
+        assert toxicity.score(text, gains) > 0.9 * idiot, text
+    got = toxicity.scored(spark.createDataFrame([(1, None), (2, ""), (3, " \t")], "doc_id long, text string"), model)
+    assert [r.predicted for r in got.collect()] == [0, 0, 0]
+
+
 def test_toxicity_query(spark):
     sf = SF_DIR.replace("0.001", "0.01")
     found = queries.op8_deobfuscated_toxicity(spark, sf)
@@ -356,6 +434,12 @@ def test_gumbel_top_k_is_exact(spark, fits, keys, ids):
     assert importance.least_of_top(d, 3000) is None
 
 
+def test_boundary_between_two_values(spark):
+    """A fifth of the rows have one key, the rest another; the cut is their edge."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, 0.0).otherwise(1.0).alias("key"))
+    assert importance.least_of_top(d, 2400, 5) == (1.0, 1) and importance.least_of_top(d, 2401, 5) == (0.0, 2995)
+
+
 def test_importance_query(spark):
     rows = queries.op2_importance_resampling(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id").collect()
     bad = [r.kept for r in rows if r.quality == 0]
