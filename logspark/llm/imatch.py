@@ -1,10 +1,9 @@
 """I-Match fingerprints over randomised lexicons, and the likeness of two of them.
 
 The lexicon holds the terms whose document frequency lies in a band. Random subsets of it, by seeded
-hashes, at several rates, give each text one signature each: a hash of the distinct terms that the
-text has in the subset. The hash is one of the set (exclusive-or of two hashes of each term, and their
-number), so the terms need not be gathered to be sorted. A text without any term of the lexicon gets one signature
-of all its terms. Built-in functions only.
+hashes, at several rates, give each text one signature each: the distinct terms that the text has in the
+subset are sorted and hashed one after the other. A text without any term of the lexicon gets one signature
+of all its terms. No list is longer than one text has terms. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -56,10 +55,8 @@ def signatures(texts: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame
         terms = F.broadcast(terms)
     each = texts.select(*keys, F.explode_outer(_terms(F.col("text"))).alias("t")).select(*keys, F.xxhash64("t").alias("term"))
     found = each.join(terms, "term", "left").select(*keys, "term", F.explode_outer("subsets").alias("subset"))
-    # Exclusive-or of two independent hashes, and the count: of any number of terms, without overflow.
-    mixed = [F.bit_xor(F.xxhash64("term", F.lit(seed))).alias(name) for seed, name in ((1, "a"), (2, "b"))]
-    hashed = found.groupBy(*keys, "subset").agg(*mixed, F.count("*").alias("c"))
-    low = F.xxhash64("a", "b", "c").bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = found.groupBy(*keys, "subset").agg(F.xxhash64(F.sort_array(F.collect_list("term"))).alias("h"))
+    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
     code = F.shiftleft(F.coalesce("subset", F.lit(REST)).cast("long"), 32).bitwiseOR(low)
     codes = hashed.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("codes"))
     inside = F.filter("codes", lambda x: x < F.lit(REST << 32))

@@ -6,8 +6,6 @@ import random
 import re
 import struct
 from collections import Counter
-from functools import reduce
-from operator import xor
 
 import numpy as np
 import pytest
@@ -147,8 +145,8 @@ def in_long(x):
 
 def brute_codes(text, lexicon):
     def mixed(terms):
-        a, b = (reduce(xor, (spark_hash(in_long(t), struct.pack("<i", k)) for t in terms)) for k in (1, 2))
-        return spark_hash(in_long(a), in_long(b), in_long(len(terms))) & 0xFFFFFFFF
+        signed = sorted(t - (1 << 64) if t >> 63 else t for t in terms)
+        return spark_hash(*(struct.pack("<q", t) for t in signed)) & 0xFFFFFFFF
 
     terms, codes, number = {spark_hash(w) for w in WORD.findall(text.lower())} or {42}, [], 0
     for rate, n in imatch.LEVELS:
