@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 import numpy as np
@@ -14,6 +13,7 @@ from logspark.functions.labels import SEVERITIES
 from logspark.operators.filters import in_either, valid_pattern
 from logspark.operators.rank import numbered
 from logspark.schema import RULE
+from logspark.session import checkpointed, importable
 
 KEEP = 500
 #: Signs by severity name, and the one for any other.
@@ -64,14 +64,6 @@ def fire_places(t: np.ndarray, cooldown: int, start: int = 0) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package from where the driver did."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
 def _timed(hits: DataFrame) -> DataFrame:
     """(rule_id, t, c, seq, id): the first hit of each rule at each time; no other hit of that time can fire.
 
@@ -83,20 +75,36 @@ def _timed(hits: DataFrame) -> DataFrame:
 
 
 def _with_fires(hits: DataFrame, fires: DataFrame) -> DataFrame:
-    """The hits that fire: those of fires, and all of rules without a cooldown."""
+    """The hits that fire: those of fires, each once even where a hit is repeated, and all of rules without a cooldown."""
     f = fires.select(F.col("rule_id").alias("f_rule"), F.col("t").alias("f_t"), F.col("seq").alias("f_seq"), F.col("id").alias("f_id"))
     same = (hits.rule_id == f.f_rule) & (F.unix_micros(hits.received_at) == f.f_t) & (hits.seq == f.f_seq) & (hits.id == f.f_id)
-    return hits.where("cooldown > 0").join(f, same, "left_semi").unionByName(hits.where("cooldown <= 0"))
+    told = hits.where("cooldown > 0").join(f, same, "left_semi")
+    by = ["rule_id", "received_at", "seq", "id"]
+    once = told.groupBy(*by).agg(F.min(F.struct(*[c for c in hits.columns if c not in by])).alias("m")).select(*by, "m.*")
+    return once.select(hits.columns).unionByName(hits.where("cooldown <= 0"))
 
 
-def fired_by_rule(hits: DataFrame) -> DataFrame:
-    """Hits that fire, each rule's times in one task: for rules with few hits."""
+def _by_rule(timed: DataFrame) -> DataFrame:
+    """Fires among timed hits, each rule's times in one task."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("t")
         return p.iloc[fire_places(p.t.to_numpy(), int(p.c.iloc[0]))][_FIRE]
 
-    return _with_fires(hits, _timed(hits).groupBy("rule_id").applyInPandas(run, _FIRES))
+    return timed.groupBy("rule_id").applyInPandas(run, _FIRES)
+
+
+def fired_by_rule(hits: DataFrame) -> DataFrame:
+    """Hits that fire, each rule's times in one task: for rules with few hits."""
+    return _with_fires(hits, _by_rule(_timed(hits)))
+
+
+def after(hits: DataFrame, since: dict[str, int]) -> DataFrame:
+    """The hits that may still fire where rules have fired before; since: the microsecond from which on each may again."""
+    if not since:
+        return hits
+    again = F.create_map(*[F.lit(x) for kv in since.items() for x in kv])[F.col("rule_id")]
+    return hits.where((F.col("cooldown") <= 0) | again.isNull() | (F.unix_micros("received_at") >= again))
 
 
 def exits(t: np.ndarray, cooldown: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,22 +162,28 @@ def _entries(ways: DataFrame, buckets: int, start: int = -(1 << 62)) -> DataFram
     if buckets <= FAN:
         return ways.groupBy("rule_id").applyInPandas(lambda p: apart(p, start), entry)
     group = F.floor(F.col("b") / FAN).cast("long").alias("g")
-    higher = ways.groupBy("rule_id", group).applyInPandas(together, _WAYS).persist()
+    higher = checkpointed(ways.groupBy("rule_id", group).applyInPandas(together, _WAYS))
     above = _entries(higher, -(-buckets // FAN), start).withColumnRenamed("b", "g")
     both = ways.withColumn("g", group).groupBy("rule_id", "g").cogroup(above.groupBy("rule_id", "g"))
     return both.applyInPandas(lambda p, e: apart(p, int(e.since.iloc[0])) if len(p) else pd.DataFrame({"rule_id": [], "b": [], "since": []}), entry)
 
 
 def fired(hits: DataFrame, rows: int = 500_000, width: int | None = None) -> DataFrame:
-    """Hits that fire, each rule's time line cut into buckets of about `rows` times; the same as fired_by_rule.
+    """Hits that fire; the same as fired_by_rule, but a rule with more than `rows` times, or any if `width` is given, has its time
+    line cut into buckets.
 
     A bucket is `width` cooldowns, from one up, chosen for each rule by how dense its hits are: busy rules have many
     buckets. A bucket alone tells what it makes of any time from which on its rule may fire again; see _entries.
     From its true entry each bucket then marks its fires."""
-    timed = _timed(hits).persist()
-    span = timed.groupBy("rule_id", "c").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n")).collect()  # a row for each rule
-    if not span:
+    timed = checkpointed(_timed(hits))
+    every = timed.groupBy("rule_id", "c").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n")).collect()  # a row for each rule
+    span = [r for r in every if width or r.n > rows]
+    if not every:
         return hits
+    if not span:
+        return _with_fires(hits, _by_rule(timed))
+    many = F.col("rule_id").isin([r.rule_id for r in span])
+    few, timed = timed.where(~many), timed.where(many)
     wide = {r.rule_id: r.c * (width or int(max(1, min(4096, rows * (r["last"] - r["first"] + 1) // (r.n * r.c))))) for r in span}
     buckets = max((r["last"] - r["first"]) // wide[r.rule_id] + 1 for r in span)
     of_rule = lambda f: F.create_map(*[F.lit(x) for r in span for x in (r.rule_id, f(r))])[F.col("rule_id")]
@@ -187,9 +201,9 @@ def fired(hits: DataFrame, rows: int = 500_000, width: int | None = None) -> Dat
         t = p.t.to_numpy()
         return p.iloc[fire_places(t, int(p.c.iloc[0]), int(np.searchsorted(t, int(e.since.iloc[0]), "left")))][_FIRE] if len(p) else p[_FIRE]
 
-    least = dealt.select("rule_id", "b", "c", "lead", "t").groupBy("rule_id", "b").applyInPandas(ways, _WAYS).persist()
+    least = checkpointed(dealt.select("rule_id", "b", "c", "lead", "t").groupBy("rule_id", "b").applyInPandas(ways, _WAYS))
     fires = dealt.groupBy("rule_id", "b").cogroup(_entries(least, buckets).groupBy("rule_id", "b")).applyInPandas(marked, _FIRES)
-    return _with_fires(hits, fires)
+    return _with_fires(hits, fires.unionByName(_by_rule(few)) if len(span) < len(every) else fires)
 
 
 def events(fires: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from logspark.functions.parse import parse
 from logspark.operators import alerts, stats, textindex
 from logspark.operators.idindex import IdIndex
+from logspark.session import children, importable, remove
 from logspark.sources.sinks import append, with_date
 
 
@@ -67,19 +68,68 @@ def dashboard(messages: DataFrame, checkpoint: str, show, n: int = 10, trigger:
     return _started(running_totals(messages).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each), trigger)
 
 
-def _cooled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    p = pd.concat(list(frames)).sort_values(["t", "seq", "id"])
-    last = state.get[0] if state.exists else None
-    t, c = p.t.to_numpy(), int(p.c.iloc[0])
-    places = alerts.fire_places(t, max(c, 1), 0 if last is None else int(t.searchsorted(last + c, "left"))) if c > 0 else range(t.size)
-    out = p.iloc[list(places)]
-    if len(out):
-        state.update((int(out.t.iloc[-1]),))
-    yield out[["rule_id", "t", "seq", "id"]]
-
-
-def cooled(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, t in microseconds, seq, id) of fires; the state is the last fire of each rule."""
-    alerts.importable(messages.sparkSession)
-    hits = alerts.matches(messages, rules).select("rule_id", F.unix_micros("received_at").alias("t"), "seq", "id", (F.col("cooldown").cast("long") * 1_000_000).alias("c"))
-    return hits.groupBy("rule_id").applyInPandasWithState(_cooled, "rule_id string, t long, seq long, id string", "last long", "append", GroupStateTimeout.NoTimeout)
+class Cooldown(StatefulProcessor):
+    """State of a rule: its last fire. It expires once the rule may fire again, by the clock of arrivals, so idle rules hold none."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        p = pd.concat([x.sort_values(["t", "seq", "id"]).drop_duplicates(["t", "seq", "id"]) for x in rows])
+        p = p.sort_values(["t", "seq", "id"]).drop_duplicates(["t", "seq", "id"])
+        t, c = p.t.to_numpy(), int(p.c.iloc[0])
+        if c > 0:
+            held = self.last.get()
+            since = int(held[0]) + c if held is not None else None
+            out = p.iloc[alerts.fire_places(t, c, 0 if since is None else int(t.searchsorted(since, "left")))]
+        else:
+            out = p
+        if c > 0 and len(out):
+            last = int(out.t.iloc[-1])
+            self.last.update((last,))
+            self.handle.registerTimer((last + c) // 1000 + 1)
+        yield out[["rule_id", "t", "seq", "id"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A timer of an earlier fire finds a later one, whose own timer is still to come."""
+        if len(list(self.handle.listTimers())) == 0:
+            self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(messages: DataFrame, rules: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(rule_id, t in microseconds, seq, id) of fires, hit by hit as they come; messages later than delay are left out.
+
+    A task takes the hits of a rule that one batch brings: limit batches at the source, or see fire_batches."""
+    importable(messages.sparkSession)
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hits = alerts.matches(messages.withWatermark("received_at", delay), rules).select("rule_id", F.unix_micros("received_at").alias("t"), "seq", "id", (F.col("cooldown").cast("long") * 1_000_000).alias("c"), "received_at")
+    return hits.groupBy("rule_id").transformWithStateInPandas(Cooldown(), "rule_id string, t long, seq long, id string", "append", "eventtime")
+
+
+def fire_batches(messages: DataFrame, rules: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, rows: int = 500_000, width: int | None = None) -> StreamingQuery:
+    """Hits that fire, batch by batch into path/fires, with the last fire of each rule in path/last.
+
+    A burst of one rule is cut over many tasks as in alerts.fired. A batch that runs again starts from the state before
+    it and writes the same once more, in place of what it wrote; hits earlier than a rule's last fire and its cooldown don't fire."""
+    spark = messages.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        states = sorted(int(n.removeprefix("batch=")) for n in children(spark, f"{path}/last") if n.startswith("batch="))
+        before = [n for n in states if n < number]
+        last = {r.rule_id: r.t for r in spark.read.parquet(f"{path}/last/batch={before[-1]}").collect()} if before else {}  # a row for each rule
+        cooldowns = {r.id: r.cooldown * 1_000_000 for r in rules.collect()}
+        hits = alerts.matches(batch, rules)
+        fires = alerts.fired(alerts.after(hits, {k: t + cooldowns[k] for k, t in last.items() if k in cooldowns}), rows, width)
+        fires.write.mode("overwrite").parquet(f"{path}/fires/batch={number}")
+        new = spark.read.schema(fires.schema).parquet(f"{path}/fires/batch={number}").groupBy("rule_id").agg(F.max(F.unix_micros("received_at")).alias("t"))
+        now = last | {r.rule_id: r.t for r in new.collect()}
+        spark.createDataFrame(list(now.items()), "rule_id string, t long").coalesce(1).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+        for n in before[:-1]:
+            remove(spark, f"{path}/last/batch={n}")
+
+    return _started(messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each), trigger)
