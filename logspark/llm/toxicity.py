@@ -35,6 +35,7 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t._*-]{1,2}[^\s.]){2,}(?![^\s.,;:!?])")
 _ENDS = re.compile(r"^[^\w@$!|+€£(]+|[^\w@$+€£]+$")
 _BARE = re.compile(r"^[\W_]+|[\W_]+$")
 _UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
+_THRICE = re.compile(r"(.)\1\1", re.S)
 _AGAIN = re.compile(r"(\S)\1{3,}")
 LOOK_COST, DROP_COST, REPEAT_COST, WIDE_COST = 1.5, 1.0, 0.4, 3.0
 STRETCH = 512  # characters after which what all live paths share is written out
@@ -85,7 +86,7 @@ def disguised(word: str) -> bool:
     if len(word) < 3:
         return False
     if word.isalpha():
-        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:])) or (not word.isascii() and any("a" <= c <= "z" for c in word) and any(c in LOOKS for c in word))
+        return bool(_THRICE.search(word)) or (not word.isascii() and any("a" <= c <= "z" for c in word) and any(c in LOOKS for c in word))
     return any(map(str.isalpha, word)) and any(c in LOOKS or c in PARTERS for c in word)
 
 
@@ -204,7 +205,7 @@ class Model:
         odds = math.log(base / (1 - base))
         self.base, self.letters, self.weights = base, letters, weights or (odds, 1.0, 0.0, 0.0, 0.0, 0.0)
         self.gains = {k: math.log(v / (1 - v)) - odds for k, v in shares.items()}
-        self.whole = {shape(k) for k, g in self.gains.items() if g > 0 and k.isalpha() and len(k) >= LEAST_JOINED}
+        self.whole = {shape(k) for k, v in shares.items() if v > 0.5 and k.isalpha() and len(k) >= LEAST_JOINED}
         self.begun = {w[:k] for w in self.whole for k in range(1, len(w))}
 
     def gain(self, word: str) -> float:
@@ -221,7 +222,7 @@ class Model:
 
 
 def pieces(words: list[str], gains: _Gains) -> Iterator[str]:
-    """Neighbouring words that together look like one that tells, in the order of the text."""
+    """Neighbouring words that together look like one which is toxic more often than not, in the order of the text."""
     shapes, begun, whole = gains.shapes, gains.model.begun, gains.model.whole
     for i in [i for i, w in enumerate(words) if shapes[w] in begun]:
         s, j = shapes[words[i]], i + 1
@@ -236,7 +237,7 @@ def traits(text: str, gains: _Gains) -> list[float]:
     """1, the three largest gains of the text's distinct words, the sum of all, and the logarithm of their number. A text counts
     as if it had FEWEST words or more: that an empty one has none isn't taken as telling.
 
-    Words in pieces are decoded together, runs of single characters and neighbours that look like a word that tells, and count as what they are read as."""
+    Words in pieces are decoded together, runs of single characters and neighbours that look like a toxic word, and count as what they are read as."""
     low = folded(text)
     written = low.split()
     words = set(written)
