@@ -20,6 +20,7 @@ from logspark.llm.common import batches, checkpointed, utf8
 from logspark.operators import rank
 
 BUCKETS = 10_000
+MOST_BROADCAST = 2_000_000  # ids of good texts, 8 bytes each
 NO_ID = -(1 << 63)  # stands for a null doc_id: it is the least
 
 
@@ -108,7 +109,8 @@ def _from(last: tuple[float, int]) -> Column:
     return (key > last[0]) | ((key == last[0]) & tied)
 
 
-def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text) of all documents labelled as of good quality."""
+def good_texts(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(text) of all documents labelled as of good quality. Up to most_broadcast ids go to the texts; more meet them in a shuffle."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select("text")
+    few = good.count() <= most_broadcast
+    return docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi").select("text")

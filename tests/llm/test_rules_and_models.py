@@ -438,6 +438,12 @@ def test_boundary_between_two_values(spark):
     assert importance.least_of_top(d, 2400, 5) == (1.0, 1) and importance.least_of_top(d, 2401, 5) == (0.0, 2995)
 
 
+def test_good_texts_by_broadcast_and_by_shuffle(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (7, 1), (7, 1), (8, 0), (9, None), (None, 1), (77, 1)], "doc_id long, quality int")
+    for most in (10**6, 0):
+        assert sorted(str(r.text) for r in importance.good_texts(odd, labels, most).collect()) == sorted(str(r.text) for r in odd.where("doc_id in (1, 4, 7)").collect())
+
+
 def test_importance_query(spark):
     rows = queries.op2_importance_resampling(spark, SF_DIR).join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id").collect()
     bad = [r.kept for r in rows if r.quality == 0]
