@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,7 @@ BELL = "\U0001f514"
 _FIRE = ["rule_id", "t", "seq", "id"]
 _FIRES = "rule_id string, t long, seq long, id string"
 _WAYS = "rule_id string, b long, lead long, upto long, out long"
+MANY = 24  # literal patterns that are looked for one by one
 FAN = 64  # buckets that a task puts together
 
 
@@ -44,17 +46,51 @@ def _matched(rule: dict) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def matches(messages: DataFrame, rules: DataFrame) -> DataFrame:
+def matches(messages: DataFrame, rules: DataFrame, many: int = MANY) -> DataFrame:
     """Messages by enabled rules they match, with rule_id, rule_name, rule_pos and cooldown.
 
-    The rules are a configuration, a few rows that people write: each becomes a predicate, and nothing is joined."""
+    The rules are a configuration, rows that people write: each becomes a predicate, and nothing is joined. If more than `many` of
+    them have a literal pattern, all these are looked for in one pass over each text, see _literal_rules."""
     known = [r.asDict() for r in rules.where("enabled").collect()]
+    literal = [r for r in known if r["pattern"] and not r["useRegex"]]
+    together = literal if len(literal) > many else []
+    alone = [r for r in known if r not in together]
     rule = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["pos"]).alias("rule_pos"), F.lit(r["cooldown"]).alias("cooldown"))
     none = F.array().cast("array<struct<rule_id:string,rule_name:string,rule_pos:int,cooldown:int>>")
-    found = F.array_compact(F.array(*[F.when(_matched(r), rule(r)) for r in known])) if known else none
+    found = F.array_compact(F.array(*[F.when(_matched(r), rule(r)) for r in alone])) if alone else none
+    if together:
+        found = F.concat(found, _literal_rules(messages.sparkSession, together))
     return messages.select(*messages.columns, F.inline(found))
 
 
+def _literal_rules(spark: SparkSession, rules: list[dict]) -> Column:
+    """The matching ones of rules with literal patterns. One Aho-Corasick automaton of all patterns runs over the lower-cased
+    texts, in Arrow batches; what it finds is then held against the rules' other conditions."""
+    importable(spark)
+    patterns = [r["pattern"].lower() for r in rules]
+    numbers: dict[str, list[int]] = {}
+    for k, p in enumerate(patterns):
+        numbers.setdefault(p, []).append(k)
+
+    @F.pandas_udf("array<int>")
+    def hit(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p, of in numbers.items():
+            automaton.add_word(p, of)
+        automaton.make_automaton()
+        for message, raw in texts:
+            yield pd.Series([sorted({k for text in two for _, of in automaton.iter(text) for k in of}) for two in zip(message, raw)])
+
+    row = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["pos"]).alias("rule_pos"), F.lit(r["cooldown"]).alias("cooldown"), F.lit(r["minSeverity"]).alias("s"), F.lit(r["hostname"].lower()).alias("h"), F.lit(r["appName"].lower()).alias("a"))
+    every = F.array(*map(row, rules))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    maybe = F.transform(hit(low("message"), low("raw_message")), lambda k: F.get(every, k))
+    kept = F.filter(maybe, lambda r: ((r.s < 0) | (F.col("severity") <= r.s)) & low("hostname").contains(r.h) & low("app_name").contains(r.a))
+    return F.transform(kept, lambda r: F.struct(r.rule_id.alias("rule_id"), r.rule_name.alias("rule_name"), r.rule_pos.alias("rule_pos"), r.cooldown.alias("cooldown")))
+
+
 def fire_places(t: np.ndarray, cooldown: int, start: int = 0) -> np.ndarray:
     """Places in ascending times that fire, from place start on: the next is the first a cooldown or more later."""
     out = []

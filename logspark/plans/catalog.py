@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions import labels, parse, render, search
-from logspark.operators import alerts, dedup, filters, groups, query, rank, retention, stats, textindex
+from logspark.operators import alerts, dedup, filters, gramindex, groups, query, rank, retention, stats, textindex
 from logspark.operators.filters import Filter
 from logspark.operators.idindex import IdIndex
 from logspark.plans.messages import MESSAGES_SQL, RULES, lines_of, messages
 from logspark.session import exists, new_folder
+from logspark.sources.cleanup import Limits, clean
 from logspark.sources.lines import raw_lines, read_store, union_transports
 from logspark.sources.sinks import append
+from logspark.streaming import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,6 +202,19 @@ of_message_index("search_words_indexed", "search_words")(lambda m, index: shown(
 
 of_messages("semi_join_hits", f"select {_SHOWN_SQL} from m where regexp_matches(message, 'user 7 ')")(lambda m: shown(query.with_hits(m, m.where(F.col("message").contains("user 7 ")).select("id"))))
 of_messages("insert_or_ignore", f"select {_SHOWN_SQL} from m where seq % 3 <> 0")(lambda m: shown(dedup.not_yet(m.union(m.where("seq % 4 = 0")), m.where("seq % 3 = 0"))))
+
+
+def by_files(m: DataFrame, search_for: str, mode: str) -> DataFrame:
+    """A search that reads only those files of a store which can match."""
+    spark = m.sparkSession
+    path, summary = new_folder(spark, "store"), new_folder(spark, "grams")
+    append(m, path)
+    gramindex.update(spark, path, summary)
+    return gramindex.matching(spark, path, summary, search_for, mode)
+
+
+of_messages("search_regex_by_files", ORACLE_SQL["search_regex"].removeprefix(MESSAGES_SQL))(lambda m: shown(by_files(m, r"user \d{3} .*: 9\d\}", "regex")))
+of_messages("search_text_by_files", ORACLE_SQL["search_text"].removeprefix(MESSAGES_SQL))(lambda m: shown(by_files(m, "USER 12", "text")))
 of_message_index("semi_join_hits_indexed", "semi_join_hits")(lambda m, index: shown(query.with_hits(m, textindex.hits(index, search.boolean_query('"user 7"')))))
 
 
@@ -260,13 +276,38 @@ of_messages("rate_tumbling", "select strftime(date_trunc('hour', received_at), '
     lambda m: stats.tumbling(m).select(F.date_format("w.start", render.TIME).alias("start"), "severity_label", "count")
 )
 
+
+
+def kept_counts(m: DataFrame) -> DataFrame:
+    """The counts that a dashboard keeps, as batches of three parts of the messages leave them."""
+    return reduce(DataFrame.unionByName, [rollup.counted(m.where(F.col("seq") % 3 == k)) for k in range(3)])
+
+
+of_messages("rollup_by_minute", "select strftime(date_trunc('minute', received_at), '%Y-%m-%d %H:%M') as minute, severity_label, coalesce(nullif(hostname, ''), source_ip) as source, count(*) as count from m group by 1, 2, 3")(
+    lambda m: kept_counts(m).groupBy(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "severity_label", "source").agg(F.sum("count").alias("count"))
+)
+of_messages("rollup_top_sources", ORACLE_SQL["top_sources"].removeprefix(MESSAGES_SQL))(lambda m: rollup.top_sources(kept_counts(m)))
+
 # Retention
 
 of_messages("retention_age", f"""select {_SHOWN_SQL} from m where "timestamp" >= timestamp '2024-01-24'""")(lambda m: shown(retention.by_age(m, NOW, 7)))
 of_messages("retention_count", f"""select {_SHOWN_SQL} from m order by "timestamp" desc, id desc limit 2500""")(lambda m: shown(retention.by_count(m, 2500)))
 _FITS = f"select count(*) as n, sum({_TEXT_BYTES}) as b from m"
 of_messages("retention_size", f"""select {_SHOWN_SQL} from (select *, row_number() over (order by "timestamp" desc, id desc) as rn from m) r, ({_FITS}) t where t.b <= 1048576 or rn <= greatest(0, t.n - greatest(t.n // 10, 1000))""")(lambda m: shown(retention.by_size(m, 1)))
-of_messages("retention_policy", f"""select {_SHOWN_SQL} from (select * from m where "timestamp" >= timestamp '2024-01-11' order by "timestamp" desc, id desc limit 4000)""")(lambda m: shown(retention.apply(m, NOW, 20, 4000, 500)))
+_KEPT = f"""k as (select *, row_number() over (order by "timestamp" desc, id desc) as rn, count(*) over () as n, sum({_TEXT_BYTES}) over () as b from (select * from m where "timestamp" >= timestamp '2024-01-11' order by "timestamp" desc, id desc limit 4000))"""
+_POLICY_SQL = f"select {_SHOWN_SQL} from k where b <= 524288 or rn <= greatest(0, n - greatest(n // 10, 1000))"
+of_messages("retention_policy", f", {_KEPT} {_POLICY_SQL}")(lambda m: shown(retention.apply(m, NOW, 20, 4000, 0.5)))
+
+
+def cleaned(m: DataFrame) -> DataFrame:
+    """What a store of these messages shows after a clean-up."""
+    path = new_folder(m.sparkSession, "store")
+    append(m, path)
+    clean(m.sparkSession, path, NOW, Limits(20, 4000, 0.5, "text"))
+    return read_store(m.sparkSession, path)
+
+
+of_messages("retention_in_store", f", {_KEPT} {_POLICY_SQL}")(lambda m: shown(cleaned(m)))
 
 # Alerts
 
@@ -300,6 +341,10 @@ def of_fires(name: str, sql: str) -> Callable[[Callable[[DataFrame], DataFrame]]
 
 
 of_messages("alert_matches", _MATCHES_SQL + "select seq, rule_id, rule_name, rule_pos from h")(lambda m: hits(m).select("seq", "rule_id", "rule_name", "rule_pos"))
+_MANY = [{"id": f"u{k}", "name": "user", "pattern": f"USER {k} ", "minSeverity": k % 8, "hostname": "host" if k % 2 else ""} for k in range(100)]
+of_messages("alert_matches_many", """ select seq, 'u' || k as rule_id, cast(k as int) as rule_pos from m, range(100) r(k) where severity <= k % 8 and (k % 2 = 0 or contains(hostname, 'host')) and (contains(lower(message), 'user ' || k || ' ') or contains(lower(raw_message), 'user ' || k || ' '))""")(
+    lambda m: alerts.matches(m, alerts.rules_frame(m.sparkSession, _MANY)).select("seq", "rule_id", "rule_pos")
+)
 of_fires("alert_cooldown", "select rule_id, seq from fired where cooldown > 0")(lambda m: alerts.fired(hits(m)).where("cooldown > 0").select("rule_id", "seq"))
 of_fires("alert_no_cooldown", "select rule_id, seq from fired where cooldown = 0")(lambda m: alerts.fired(hits(m)).where("cooldown = 0").select("rule_id", "seq"))
 _TRANSPORTS = ("UDP", "TCP", "TLS")

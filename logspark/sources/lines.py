@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logspark.schema import MESSAGE, RULE
-from logspark.session import importable
+from logspark.session import children, exists, get_json, importable
 from logspark.sources.tail import LineSource
 
 KAFKA_BITS = 20  # of a line's seq are its partition's
@@ -79,9 +81,45 @@ def union_transports(*lines: DataFrame) -> DataFrame:
     return reduce(both, [d.withColumn("seq", F.col("seq") * len(lines) + k) for k, d in enumerate(lines)])
 
 
+@dataclass(frozen=True, order=True)
+class Cut:
+    """Where a store begins: at a microsecond and, among the messages of that time, an id."""
+
+    t: int
+    id: str
+
+    @property
+    def day(self) -> str:
+        seconds = min(max(self.t // 1_000_000, -62_135_596_800), 253_402_300_799)  # of the years 1 to 9999
+        return (datetime(1970, 1, 1) + timedelta(seconds=seconds)).date().isoformat()
+
+    def kept(self) -> Column:
+        """Whether a message lies at or after the cut; days are compared first, so that whole ones aren't opened."""
+        day, t = F.col("event_date"), F.unix_micros("timestamp")
+        edge = (t > self.t) | ((t == self.t) & (F.col("id") >= self.id))
+        return (day >= F.lit(self.day).cast("date")) & ((day > F.lit(self.day).cast("date")) | edge)
+
+
+def stored_days(spark: SparkSession, path: str) -> dict[str, int]:
+    """The days that a store or an index has folders of, and their bytes."""
+    return {n.removeprefix("event_date="): size for n, size in children(spark, path).items() if n.startswith("event_date=")}
+
+
+def cut_of(spark: SparkSession, path: str) -> Cut | None:
+    """The cut of the last clean-up, if there was one."""
+    told = sorted(n for n in children(spark, f"{path}/_retention") if n.endswith(".json"))
+    return Cut(**get_json(spark, f"{path}/_retention/{told[-1]}")) if told else None
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a store, without its partition column; filters on event_date go before this."""
-    return spark.read.schema(T.StructType([*MESSAGE.fields, T.StructField("event_date", T.DateType())])).parquet(path)
+    """Messages of a store with their event_date, without what clean-ups have cut off."""
+    layout = T.StructType([*MESSAGE.fields, T.StructField("event_date", T.DateType())])
+    rows = spark.read.schema(layout).parquet(path)
+    if exists(spark, note := f"{path}/_retention/day.rewrite"):
+        told = get_json(spark, note)
+        rows = rows.where(F.col("event_date") != F.lit(told["day"]).cast("date")).unionByName(spark.read.schema(layout).parquet(told["beside"]))
+    cut = cut_of(spark, path)
+    return rows.where(cut.kept()) if cut else rows
 
 
 def read_rules(spark: SparkSession, path: str) -> list[dict]:

@@ -43,8 +43,9 @@ def ingest(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return _started(parse(lines).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each), trigger)
 
 
-def rates(messages: DataFrame, seconds: int = 10, step: int = 1, delay: str = "1 minute") -> DataFrame:
-    return stats.rate(messages.withWatermark("received_at", delay), seconds, step)
+def rates(messages: DataFrame, seconds: int = 10, step: int = 1, delay: str = "1 minute", chained: bool = False) -> DataFrame:
+    """Sliding rates. chained: seconds and windows are two states, one after the other, for append mode: a window comes out once it's past."""
+    return stats.rate(messages.withWatermark("received_at", delay), seconds, step, chained)
 
 
 def level_counts(messages: DataFrame, width: str = "1 second", delay: str = "1 minute") -> DataFrame:
