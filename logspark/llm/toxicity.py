@@ -72,8 +72,9 @@ class Letters:
         return x
 
 
-def trigrams(word: str) -> Iterator[str]:
-    return (f"^^{word}$"[i : i + 3] for i in range(len(word) + 1))
+def trigrams(word: str) -> list[str]:
+    marked = f"^^{word}$"
+    return [marked[i : i + 3] for i in range(len(word) + 1)]
 
 
 def folded(text: str) -> str:
@@ -207,24 +208,45 @@ class Model:
         self.gains = {k: math.log(v / (1 - v)) - odds for k, v in shares.items()}
         self.whole = {shape(k) for k, v in shares.items() if v > 0.5 and k.isalpha() and len(k) >= LEAST_JOINED}
         self.begun = {w[:k] for w in self.whole for k in range(1, len(w))}
+        firsts = {w[0] for w in self.whole}
+        self.firsts = firsts | {chr(c) for c, x in _SHAPE.items() if x is None or x in firsts}
+        begin: dict[int, dict[str, float]] = {}
+        for k, g in self.gains.items():
+            if k.endswith("*"):
+                begin.setdefault(len(k) - 1, {})[k[:-1]] = g
+        self.begin = sorted(begin.items())
+
+    def best(self, word: str) -> float:
+        """The largest gain of a plain word's features; 0 if none tells."""
+        x, n = max(0.0, self.gains.get(word, 0.0)), len(word)
+        for k, known in self.begin:
+            if k >= n:
+                break
+            if (y := known.get(word[:k])) is not None and y > x:
+                x = y
+        return x
 
     def gain(self, word: str) -> float:
         """By how much a folded word, or what it is restored to, raises the log odds of a toxic text; 0 if it tells nothing."""
-        plain = _ENDS.sub("", word)
-        if not plain:
+        if word.isalpha() and word.isascii() and not _THRICE.search(word):
+            return self.best(word)  # nothing to take off or to restore
+        if word.isalnum():
+            plain = bare = word
+        elif not (plain := _ENDS.sub("", word)):
             return 0.0
-        bare = _BARE.sub("", plain)
+        else:
+            bare = _BARE.sub("", plain)
         forms = {bare, plain}
         if disguised(plain):
             for w in [*forms]:
                 forms.update(restore(w, self.letters).split())
-        return max((self.gains.get(f, 0.0) for w in forms for f in features(w)), default=0.0)
+        return max(map(self.best, forms))
 
 
 def pieces(words: list[str], gains: _Gains) -> Iterator[str]:
     """Neighbouring words that together look like one which is toxic more often than not, in the order of the text."""
-    shapes, begun, whole = gains.shapes, gains.model.begun, gains.model.whole
-    for i in [i for i, w in enumerate(words) if shapes[w] in begun]:
+    shapes, begun, whole, firsts = gains.shapes, gains.model.begun, gains.model.whole, gains.model.firsts
+    for i in [i for i, w in enumerate(words) if w[0] in firsts and shapes[w] in begun]:
         s, j = shapes[words[i]], i + 1
         while s in begun and j < len(words):
             more = shapes[words[j]]
