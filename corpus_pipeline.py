@@ -8,6 +8,7 @@ Parquet below the shared folder and reads it again as the next one's docs.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ from logspark.llm.common import documents, importable, shared_folder
 from logspark.llm.queries import KEY, word_ids
 
 
-def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with the columns of docs; n_chars is that of the text as it is now."""
+def _as_documents(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What operator makes of docs, with the columns of docs; n_chars is that of the text as it is now. Other columns go by other
+    names meanwhile, so that none is taken for one which the operator adds."""
+    others = {c: f"own_{k}" for k, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    found = operator(docs.withColumnsRenamed(others)).select("doc_id", "text", *[F.col(v).alias(k) for k, v in others.items()])
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and blank ones among them; of repeated rows each is judged."""
     return quality_divergence.keep_good(docs)
 
 
@@ -31,7 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the least doc_id.
 
     Near: SimHash fingerprints of five-word shingles differ in 3 bits or fewer, or the sets of these shingles
-    have a Jaccard similarity of 0.8 or more, which lie about ten bits apart."""
+    have a Jaccard similarity of 0.8 or more, which lie about ten bits apart. Rows of one doc_id are one document: one of them stays,
+    or none if any of their texts is a near copy of one with a lesser id. Rows without doc_id all stay."""
     importable(spark)
     return near_copies.drop_near_copies(docs, groups=simhash.near_groups(docs, size=near_copies.SIZE).select("doc_id", "component_id"))
 
@@ -39,16 +44,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines and passages go from all texts but the first that holds them; every document stays."""
     importable(spark)
-    return _as_documents(unit_dedup.without_repeats(docs), docs)
+    return _as_documents(docs, unit_dedup.without_repeats)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by surrogates."""
-    return _as_documents(surrogates.with_surrogates(docs, KEY), docs)
+    """Personal data is replaced by surrogates; every row stays, null texts as they are."""
+    return _as_documents(docs, lambda d: surrogates.with_surrogates(d, KEY))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each token piece in sequences of 4096."""
+    """The place of each token piece in sequences of 4096; a null or empty text is its end token."""
     importable(spark)
     return packing.packed(packing.token_pieces(docs, word_ids()))
 
