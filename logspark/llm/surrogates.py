@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same kind and format, with built-in functions only.
 
-Entities are found by one pattern; names that stand after a title once are found without it too, in
-the same text. An entity's canonical form (lower case, without separators or title) and a secret key
+Entities are found by one pattern; names that stand after a title or a cue like `Name:` once are found without it
+too, in the same text. An entity's canonical form (lower case, without separators or title) and a secret key
 decide its surrogate, so the same entity gets the same surrogate wherever it stands, in the format of that
 place. Given names and surnames are entities of their own: who is `Anna Weber`, `Dr. Weber` and
 `Mrs. Anna Weber` in turn keeps one surname. A given name's gender is what the titles of all its mentions
@@ -38,16 +38,20 @@ LONGER = 8  # attempts after which surrogates grow by a letter each time
 _C = r"[\p{L}\p{N}\p{M}]"
 _B, _N = rf"(?<!{_C})", rf"(?!{_C})"
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
-_LED = rf"(?i:(?:{_TITLE}))\.? "
+#: Words before a colon that a person's name follows.
+CUES = ("name", "full name", "contact", "contact person", "patient", "customer", "employee", "signed", "nom", "nombre", "kontakt", "имя")
+_CUE = "|".join(sorted(CUES, key=len, reverse=True))
+_LED = rf"(?iu:(?:(?:{_TITLE})\.?|(?:{_CUE}):)) "
 _NAME = r"[\p{Lu}\p{Lo}](?:[\p{L}\p{M}]+|(?=['’]))(?:['’-]\p{L}[\p{L}\p{M}]+)*"
 _H = "[0-9a-fA-F]{1,4}"
 #: Kind and pattern, tried in this order.
 KINDS = (
-    ("email", r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}\p{M}._%+-]{1,64}+@[\p{L}\p{N}\p{M}-]{1,63}(?:\.[\p{L}\p{N}\p{M}-]{1,63}){1,8}"),
+    ("email", r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}\p{M}._%+-]++@[\p{L}\p{N}\p{M}-]++(?:\.[\p{L}\p{N}\p{M}-]++)++"),
     ("secret", rf"{_B}[0-9a-fA-F]{{32,}}+{_N}"),
+    ("key", rf"{_B}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36,}}+|sk-[0-9A-Za-z]{{20,}}+){_N}"),
     ("ipv6", rf"(?<![\p{{L}}\p{{N}}\p{{M}}:.])(?=[a-fA-F:]*+[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|:(?::{_H}){{1,7}}|(?:{_H}:){{1,7}}:)(?![\p{{L}}\p{{N}}\p{{M}}:])"),
     ("iban", rf"{_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_N}"),
-    ("phone", rf"{_B}\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}{_N}|{_B}\(\d{{3}}\) ?\d{{3}}[.-]\d{{4}}{_N}|{_B}\d{{3}}[.-]\d{{3}}[.-]\d{{4}}{_N}"),
+    ("phone", rf"{_B}\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}{_N}|{_B}\(\d{{3}}\) ?\d{{3}}[.-]\d{{4}}{_N}|{_B}\d{{3}}[.-]\d{{3}}[.-]\d{{4}}{_N}|{_B}0\d{{2,4}}[ /-]\d{{3,4}}[ -]?\d{{3,5}}{_N}"),
     ("ip", r"(?<![\p{L}\p{N}\p{M}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}\p{M}])"),
     ("ssn", rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_N}"),
     ("card", rf"{_B}\d(?:[ -]?\d){{12,18}}{_N}"),
@@ -55,7 +59,7 @@ KINDS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: No entity without one of these.
-HINT = rf"[0-9@]|{_LED}[\p{{Lu}}\p{{Lo}}]"
+HINT = rf"[0-9@]|gh[pousr]_|sk-|AKIA|ASIA|{_LED}[\p{{Lu}}\p{{Lo}}]"
 
 
 def kind_of(match: Column) -> Column:
@@ -68,7 +72,7 @@ def untitled(match: Column) -> Column:
 
 
 def _gender(match: Column) -> Column:
-    title = F.lower(F.regexp_extract(match, rf"^((?i:{_TITLE}))\.? ", 1))
+    title = F.lower(F.regexp_extract(match, rf"^((?iu:{_TITLE}))\.? ", 1))  # a cue tells none
     return F.when(title.isin(*[t.lower() for t in TITLES["m"]]), "m").when(title.isin(*[t.lower() for t in TITLES["f"]]), "f").otherwise("n")
 
 
