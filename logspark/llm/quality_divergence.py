@@ -50,20 +50,22 @@ def _class_counts(docs: DataFrame, out: str) -> DataFrame:
 def _common_counts(docs: DataFrame, out: str) -> DataFrame:
     """Adds array<long> out: occurrences of each common word of the language, at the end all other words.
 
-    Needs __words and __lang; null for languages without a list."""
+    Needs __lows, the words in lower case, __words and __lang; null for languages without a list."""
     every = sorted({x for v in COMMON_WORDS.values() for x in v})
     common = F.create_map(*[y for k, v in COMMON_WORDS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
-    docs = docs.withColumn("__common", F.filter(words(F.lower("text")), lambda w: w.isin(*every))).withColumn("__list", common[F.col("__lang")])
+    docs = docs.withColumn("__common", F.filter("__lows", lambda w: w.isin(*every))).withColumn("__list", common[F.col("__lang")])
     counts = F.transform("__list", lambda w: (F.size("__common") - F.size(F.array_remove(F.col("__common"), w))).cast("long"))
     docs = docs.withColumn("__counts", counts)
     total = F.aggregate("__counts", F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.withColumn(out, F.concat("__counts", F.array(F.size("__words") - total))).drop("__common", "__list", "__counts")
 
 
-def with_histograms(docs: DataFrame) -> DataFrame:
-    """docs(text, lang, ...) with __words, __lang, __classes, __odd and __commons, counted over whole texts."""
-    docs = docs.withColumn("__words", words(F.col("text"))).withColumn("__lang", language(F.col("lang")))
-    return _common_counts(_class_counts(docs, "__classes"), "__commons")
+def with_histograms(docs: DataFrame, numbers_only: bool = False) -> DataFrame:
+    """docs(text, lang, ...) with __words, __lang, __classes, __odd and __commons, counted over whole texts. numbers_only: __words
+    are in lower case, which saves splitting the text twice where only their number is asked for."""
+    lows = words(F.lower("text"))
+    docs = docs.withColumn("__lows", lows).withColumn("__words", F.col("__lows") if numbers_only else words(F.col("text"))).withColumn("__lang", language(F.col("lang")))
+    return _common_counts(_class_counts(docs, "__classes"), "__commons").drop("__lows")
 
 
 def language_references(docs: DataFrame, min_words: int = MIN_WORDS, max_odd: float = 0.05) -> DataFrame:
@@ -78,7 +80,7 @@ def language_references(docs: DataFrame, min_words: int = MIN_WORDS, max_odd: fl
     odd, letters = F.col("__classes")[len(CLASSES)], c["lower"] + c["upper"] + c["letter"]
     # Counted in the sums, as a filter would be pushed below the counting and repeat it.
     usual = (F.size("__words") >= min_words) & (c["upper"] <= c["lower"] + c["letter"]) & (odd <= max_odd * (letters + odd))
-    full = with_histograms(docs.select("text", "lang")).select("__lang", "__classes", "__commons", usual.alias("__usual"))
+    full = with_histograms(docs.select("text", "lang"), numbers_only=True).select("__lang", "__classes", "__commons", usual.alias("__usual"))
     m = max(map(len, COMMON_WORDS.values())) + 1
     summed = full.groupBy("__lang").agg(
         F.array(*[F.sum(F.when(F.col("__usual"), F.col("__classes")[i])) for i in range(len(CLASSES) + 1)]).alias("__ref_classes"),
@@ -147,11 +149,12 @@ def judged(docs: DataFrame, references: DataFrame | None = None, max_classes: fl
     own = [c for c in docs.columns if c not in added]
     others = [c for c in own if c not in ("text", "lang")]
     packed = docs.select("text", "lang", F.struct(*others, F.lit(0).alias("__none")).alias("__row"))  # out of the way of helper names
-    counted = ("__lang", "__classes", "__commons", *added[:6])
-    found = with_base_rules(with_histograms(packed), min_words)
+    counted = ("__lang", "__classes", "__commons", "__chars", *added[:6])
+    # The length is a pass over the text too: once here, not for each class and term of a distance.
+    found = with_base_rules(with_histograms(packed), min_words).withColumn("__chars", F.length("text"))
     # One row in, one row out: filters on the result stop here, else they'd be pushed below the counting and repeat it.
     found = found.select("text", "lang", "__row", F.inline(F.array(F.struct(*counted)))).join(F.broadcast(references), "__lang", "left")
-    found = found.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, distance(F.col("__classes"), F.length("text"), F.col("__ref_classes"))))
+    found = found.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, distance(F.col("__classes"), F.col("__chars"), F.col("__ref_classes"))))
     found = found.withColumn("word_distance", F.when(F.col("n_words") >= min_common, distance(F.col("__commons"), F.col("n_words"), F.col("__ref_commons"))))
     classes, commons = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(1.0))
     far = ((classes > max_classes) & (commons > max_commons)) | (classes > 2 * max_classes)
