@@ -8,7 +8,10 @@ get their ranks within their length by Spark, in salted groups, and look up thei
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,40 +34,121 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What a tokenizer does to texts if it may be given words without their case and the signs at their end.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_SIGNS = string.punctuation.encode()
+#: ASCII and the letters U+00C0 to U+00FF, which NFC leaves alone and no lower case joins; without signs at the end, a letter or a digit is the last.
+_PLAIN = re.compile(rb"[!-~]*+(?:\xc3[\x80-\xbf][!-~]*+)*+(?<![\x97\xb7])")
+
+
+#: Letters alone, which _RULES keep together.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _last_tokens(path: str) -> np.ndarray | None:
+    """By id, whether a token is the last of a run of letters, a digit or a run of signs; None for a tokenizer of other rules."""
+    with open(path, encoding="utf-8") as lines:
+        made = json.load(lines)
+    suffix = made["model"].get("end_of_word_suffix")
+    if not suffix or any(made.get(k) != v for k, v in _RULES.items()) or not all("<|" in x["content"] for x in made["added_tokens"]):
+        return None
+    last = np.zeros(1 + max([*made["model"]["vocab"].values(), *(x["id"] for x in made["added_tokens"])]), bool)
+    last[[i for token, i in made["model"]["vocab"].items() if token.endswith(suffix)]] = True
+    return last
+
+
+class _Held(Seen):
+    """A word in neither generation is noted with bytes to be filled in, which stand for its ids meanwhile."""
+
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        if (ids := self.old.get(word)) is not None:
+            self.keep(word, ids)
+            return ids
+        if (ids := self.new.get(word)) is None:
+            ids = self.new[word] = bytearray()
+        return ids
+
+
 class WordIds:
     """Token ids, as bytes, of texts under a tokenizer that never joins across ASCII blanks.
 
-    Each word is looked up among those seen; new ones of some texts go to the tokenizer together."""
+    Each word is looked up once among those seen; what is new in some texts goes to the tokenizer together, under
+    _RULES in lower case and without the signs at its end, as these have tokens of their own."""
 
     def __init__(self, path: str, most: int = 96 << 20):
-        self.path, self.most, self.seen = path, most, Seen()  # most: bytes of either generation
+        self.path, self.most, self.seen, self.last = path, most, _Held(), _last_tokens(path)  # most: bytes of either generation
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self.seen.size > self.most:
-            self.seen = Seen(dict(self.seen))
-        out, again, seen = [], [], self.seen
-        for i, text in enumerate(texts):
-            before = seen.missed
-            out.append(b"".join(map(seen.__getitem__, text.split())))
-            if seen.missed > before:
-                again.append(i)
-        new = list(seen.new)
-        for at in range(0, len(new), 4096):
-            self.learn(new[at : at + 4096])
-        seen.new.clear()
-        for i in again:
-            out[i] = b"".join(map(seen.__getitem__, texts[i].split()))
-        return out
-
-    def learn(self, new: list[bytes]) -> None:
+            self.seen = _Held(dict(self.seen))
+        found = [list(map(self.seen.__getitem__, text.split())) for text in texts]
+        self.fill()
+        return [b"".join(x) for x in found]
+
+    def fill(self) -> None:
+        """Give the words that are new their ids."""
+        seen, words, made = self.seen, self.seen.new, []
+        seen.new = {}  # from here on of what is to be learnt
+        for word, held in words.items():
+            core, signs = self.cut(word)
+            if core == word:
+                seen.new[word] = held
+            else:
+                made.append((word, held, core, signs))
+        made = [(word, held, seen[core], seen[signs]) for word, held, core, signs in made]
+        letters: list[tuple[bytes, bytearray]] = []
+        others: list[tuple[bytes, bytearray]] = []
+        for x in seen.new.items():
+            (letters if self.last is not None and _LETTERS.fullmatch(x[0]) else others).append(x)
+        for new, learn in ((letters, self.learn_letters), (others, self.learn)):
+            for at in range(0, len(new), 512):
+                learn(new[at : at + 512])
+        seen.new = {}
+        for word, held, core, signs in made:
+            held += core
+            held += signs
+            seen.keep(word, bytes(held))
+
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """What of a word is to be learnt, and the signs behind it, whose ids follow."""
+        core = word.rstrip(_SIGNS)
+        if self.last is not None and core and (small := core.lower()) != word and _PLAIN.fullmatch(core) and b"<|" not in word:
+            return small, word[len(core) :]
+        return word, b""
+
+    def learn(self, new: list[tuple[bytes, bytearray]]) -> None:
         """Encode words as one text, a word a line, and tell their ids apart by where the tokens stand."""
-        found = [w.decode() for w in new]
+        found = [w.decode() for w, _ in new]
         made = _tokenizer(self.path).encode("\n".join(found), add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
         ends = np.cumsum([len(w) + 1 for w in found])
-        upto = np.searchsorted([b for _, b in made.offsets], ends).tolist()  # tokens that end before the line does
-        for w, a, b in zip(new, [0, *upto], upto):
-            self.seen.keep(w, ids[a:b].tobytes())
+        upto = np.searchsorted([b for _, b in made.offsets], ends)  # tokens that end before the line does
+        self.keep(new, made.ids, upto)
+
+    def learn_letters(self, new: list[tuple[bytes, bytearray]]) -> None:
+        """The same for words of letters alone, told apart by the token that ends each."""
+        text = b"\n".join([w for w, _ in new]).decode()
+        ids = _tokenizer(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids
+        upto = np.flatnonzero(self.last[ids]) + 1
+        if upto.size == len(new):
+            self.keep(new, ids, upto)
+        else:
+            self.learn(new)
+
+    def keep(self, new: list[tuple[bytes, bytearray]], ids: list[int], upto: np.ndarray) -> None:
+        raw, a, keep = np.array(ids, "<u4").tobytes(), 0, self.seen.keep
+        for (word, held), b in zip(new, (4 * upto).tolist()):
+            held += (own := raw[a:b])
+            keep(word, own)
+            a = b
 
 
 @lru_cache(maxsize=2)

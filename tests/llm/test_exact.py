@@ -1,6 +1,7 @@
 """Operators held against brute force or an exact round trip, on small tables with odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -146,6 +147,47 @@ def test_words_kept_are_bounded_by_bytes():
         assert ids(texts) == once(texts) and ids.seen.size < 100_000 + 2_000_000 and sum(map(len, ids.seen.old)) < 2_000_000
 
 
+def test_words_are_learnt_without_case_and_signs_at_the_end(monkeypatch):
+    """The tokenizer gets what differs in these alone once."""
+    tokenizer, asked = packing._tokenizer(P.path("word_bpe_49k.json")), []
+
+    class Asked:
+        def encode(self, text, **how):
+            asked.append(text)
+            return tokenizer.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Asked())
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    for texts in ([b"wortel Wortel, WORTEL?! wortel", "été, ÉTÉ".encode()], [b"Wortel? (wortel wortel!?!", "Été".encode()]):
+        for text, found in zip(texts, ids(texts)):
+            assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert sorted(w for text in asked for w in text.split("\n") if w) == sorted(["wortel", ",", "?!", "été", "ÉtÉ", "?", "(wortel", "!?!", "Été"])
+
+
+@pytest.mark.parametrize("lowers", [True, False])
+def test_ids_of_words_are_those_of_whole_texts(tmp_path, lowers):
+    """Also where marks join letters of one case only, at tokens of their own, and under other rules than those words are cut by."""
+    path = P.path("word_bpe_49k.json")
+    if not lowers:
+        with open(path, encoding="utf-8") as lines:
+            made = json.load(lines)
+        made["normalizer"]["normalizers"].pop()
+        path = str(tmp_path / "cased.json")
+        with open(path, "w", encoding="utf-8") as lines:
+            json.dump(made, lines)
+    tokenizer, pick = packing._tokenizer(path), random.Random(5)
+    parts = [*"abEJTWHhÉéß×÷ÿÀ09.,;'\"<|>$-日🙂\x1c\x7f\x00\xa0ﬁΣ²…İıſK", "\u030c", "\u0331", "\u0308", "\u0301", "'s", "'Re", "<|endoftext|>", "<|EndOfText|>"]
+    words = ["".join(pick.choices(parts, k=pick.choice([1, 2, 3, 5]))) + pick.choice(["", ".", ",,", "?!'", "s."]) for _ in range(4000)]
+    texts, ids = [" ".join(words[at : at + 20]) for at in range(0, 4000, 20)], packing.WordIds(path)
+    for _ in range(2):
+        for text, found in zip(texts, ids([t.encode() for t in texts])):
+            assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
