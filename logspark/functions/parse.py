@@ -30,11 +30,19 @@ def rfc3339(text: Column) -> Column:
     return F.when(text.rlike(_RFC3339), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"))
 
 
-def bsd_time(text: Column, year: Column) -> Column:
-    """`Mmm d hh:mm:ss` in the given year, UTC; Feb 29 is Mar 1 where the year has none; null for any other text."""
+def bsd_year(month: Column, day: Column, received: Column) -> Column:
+    """The year of arrival; that before for a December line that arrives in January, that after for a line of Jan 1 that arrives on Dec 31."""
+    late = (month == 12) & (F.month(received) == 1)
+    early = (month == 1) & (day == 1) & (F.month(received) == 12) & (F.dayofmonth(received) == 31)
+    return F.year(received) + F.when(late, -1).when(early, 1).otherwise(0)
+
+
+def bsd_time(text: Column, received: Column) -> Column:
+    """`Mmm d hh:mm:ss` in its year, UTC; Feb 29 is Mar 1 where the year has none; null for any other text."""
     part = lambda i: F.regexp_extract(text, _BSD, i)
     month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(part(1))).cast("int")
     day, hour, minute = (part(i).try_cast("int") for i in (2, 3, 4))
+    year = bsd_year(month, day, received)
     second = F.replace(part(5), F.lit(","), F.lit(".")).try_cast("decimal(16,6)")
     made = lambda m, d: F.when(text.rlike(_BSD) & (second < 60), F.try_make_timestamp(year, m, d, hour, minute, second))
     return F.coalesce(made(month, day), F.when((month == 2) & (day == 29), made(F.lit(3), F.lit(1))))
@@ -94,9 +102,8 @@ def parse(lines: DataFrame) -> DataFrame:
     d = d.withColumn("new", F.coalesce(F.size("parts") == 7, F.lit(False)) & F.col("parts").isNotNull())
     d = d.withColumn("sd_rest", F.when(F.col("new"), F.get("parts", F.lit(6))))
     d = with_structured_data(d, "sd_rest").withColumnRenamed("text", "new_text")
-    year = F.year("received_at")
     long_enough = ~F.col("new") & (F.octet_length("rest") >= 15)
-    d = d.withColumns({"t15": F.when(long_enough, bsd_time(F.substring("rest", 1, 15), year)), "t14": F.when(long_enough, bsd_time(F.substring("rest", 1, 14), year))})
+    d = d.withColumns({"t15": F.when(long_enough, bsd_time(F.substring("rest", 1, 15), F.col("received_at"))), "t14": F.when(long_enough, bsd_time(F.substring("rest", 1, 14), F.col("received_at")))})
     dated = F.col("t15").isNotNull() | F.col("t14").isNotNull()
     after = F.when(F.col("t15").isNotNull(), F.lit(16)).otherwise(F.lit(15))
     d = d.withColumn("tail", F.when(dated, F.ltrim(F.substring("rest", after, F.length("rest")), F.lit(" "))))

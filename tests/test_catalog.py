@@ -40,3 +40,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["parse_all"])
+def test_rows_over_new_year(spark, tmp_path, name):
+    """Events of a year's first seconds: their lines are stamped up to six seconds earlier, in the year before."""
+    c = duckdb.connect()
+    c.sql(f"""copy (select i as event_id, timestamp '2024-01-01 00:00:00.25' + to_seconds(cast(i // 6 as int)) as ts, i * 37 as user_id, ['error', 'signup', 'view'][i % 3 + 1] as event_type, 1.5 as value, '{{"k": 1}}' as props from range(60) r(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.ts[:4] for r in found} == {"2023", "2024"}
+    assert plain([[r[k] for k in sorted(r.asDict())] for r in found]) == plain(c.sql(f"select {', '.join(sorted(found[0].asDict()))} from ({ORACLE_SQL[name]})").fetchall())
