@@ -42,7 +42,7 @@ def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["parse_all"])
+@pytest.mark.parametrize("name", ["parse_all", "parse_rfc3164"])
 def test_rows_over_new_year(spark, tmp_path, name):
     """Events of a year's first seconds: their lines are stamped up to six seconds earlier, in the year before."""
     c = duckdb.connect()

@@ -95,3 +95,24 @@ def test_no_python_in_parse(spark):
 def test_rfc3164_day_is_padded(spark):
     line = messages(spark, SF_DIR).where("version = 0 and hostname <> ''").select(render.rfc3164().alias("x")).first().x
     assert line.split(">")[1].startswith("Jan  1 ") or line.split(">")[1][4] in " 123"
+
+
+YEARS = [
+    ("Dec 31 23:59:58", datetime(2022, 1, 1, 0, 0, 1), datetime(2021, 12, 31, 23, 59, 58)),
+    ("Dec  5 02:56:15", datetime(2022, 1, 31, 12), datetime(2021, 12, 5, 2, 56, 15)),
+    ("Dec 5 02:56:15", datetime(2022, 1, 31, 12), datetime(2021, 12, 5, 2, 56, 15)),
+    ("Dec 31 23:59:58", datetime(2022, 2, 1), datetime(2022, 12, 31, 23, 59, 58)),
+    ("Nov 30 23:59:58", datetime(2022, 1, 1), datetime(2022, 11, 30, 23, 59, 58)),
+    ("Jan  1 00:00:01", datetime(2021, 12, 31, 23, 59, 59), datetime(2022, 1, 1, 0, 0, 1)),
+    ("Jan  2 00:00:01", datetime(2021, 12, 31, 23, 59, 59), datetime(2021, 1, 2, 0, 0, 1)),
+    ("Jan  1 00:00:01", datetime(2021, 12, 30, 23, 59, 59), datetime(2021, 1, 1, 0, 0, 1)),
+    ("Jan  1 00:00:01", datetime(2022, 1, 1, 0, 0, 1), datetime(2022, 1, 1, 0, 0, 1)),
+    ("Dec 31 23:59:58", datetime(2021, 12, 31, 23, 59, 59), datetime(2021, 12, 31, 23, 59, 58)),
+    ("Feb 29 10:00:00", datetime(2024, 3, 1), datetime(2024, 2, 29, 10)),
+]
+
+
+def test_year_of_rfc3164(spark):
+    rows = [(i, f"<15>{stamp} eagle radar: x", "h", "UDP", received) for i, (stamp, received, _) in enumerate(YEARS)]
+    found = {r.seq: (r.timestamp, r.hostname, r.app_name, r.message) for r in parse.parse(spark.createDataFrame(rows, RAW_LINE)).collect()}
+    assert found == {i: (want, "eagle", "radar", "x") for i, (_, _, want) in enumerate(YEARS)}
